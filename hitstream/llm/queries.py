@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitstream.llm import chains, langid, licenses, mixing, packing, pii, sharding, simhash
+from hitstream.llm import ann, chains, langid, licenses, mixing, packing, pii, rabitq, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", langid.held_out())
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.findings(table(spark, sf_dir, "documents"))
     counts = {f"n_{k}": F.size(F.filter("spans", pii.is_kind(k))).cast("long") for k in pii.KINDS}
@@ -66,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op4_chains": op4_chains,
     "op5_language": op5_language,
+    "op6_neighbours": op6_neighbours,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,

@@ -49,8 +49,16 @@ def test_odd_rows_and_empty(spark, odd, empty, tokenizer):
 
 def test_words_split_as_the_tokenizer_splits(tokenizer):
     words = packing.WordIds(tokenizer)
-    for text in ["It's we'LL 'TIS don't", "ÄÖÜß ÿ ¼½ 12a3 ª º µ", "a b", "x<|endoftext|>y", "tab\tnew\nline\r", "\x85 \x1c", "ﬁ Å Å", "!!!'s''re", "A" * 300]:
-        assert words.of(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    texts = ["It's we'LL 'TIS don't", "ÄÖÜß ÿ ¼½ 12a3 ª º µ", "a b", "x<|endoftext|>y", "tab\tnew\nline\r", "\x85 \x1c", "ﬁ Å Å", "!!!'s''re", "A" * 300, "", "'s ' s 's's"]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(words.of(texts)) == want and list(words.of(texts)) == want
+
+
+def test_memory_of_words_is_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
+    words = packing.WordIds(tokenizer)
+    for text in ["one two three", "four five six", "one six seven eight nine ten"]:
+        assert list(words.of([text])) == [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
 
 
 def test_lengths():
