@@ -60,16 +60,22 @@ def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(x.as_py() or b"", shingle, seed) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(x.as_py() or b"", shingle, seed) for x in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["doc_id", "row_key", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of every row."""
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return thin.mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long")
+def row_key():
+    """Digest of a row's text; a null text differs from an empty one."""
+    return F.when(F.col("text").isNotNull(), F.md5(F.col("text").cast("binary"))).otherwise(F.lit("")).alias("row_key")
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keyed: bool = False) -> DataFrame:
+    """doc_id, row_key (empty unless ``keyed``) and fp (the fingerprint's bits as a long) of every row."""
+    key = row_key() if keyed else F.lit("").alias("row_key")
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, F.col("text").cast("binary").alias("text"))
+    return thin.mapInArrow(_fingerprints(shingle, seed), "doc_id long, row_key string, fp long")
 
 
 def _tables(pivots: int):
@@ -180,15 +186,36 @@ def links(distinct: DataFrame, count: int, bits: int = BITS, pivots: int = PIVOT
     return rows.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_links(bits), "a long, b long")
 
 
+def _grouped(each: DataFrame, bits: int) -> DataFrame:
+    """(fp, root, least): the group and the smallest id of every distinct fingerprint of a stored table."""
+    classes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = connected_components(links(classes.select("fp"), classes.count(), bits))
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable by links) of every row.
 
     Texts are read once; copies collapse to one fingerprint each before any pair is sought.
     """
     each = stored(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = connected_components(links(classes.select("fp"), classes.count(), bits))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _grouped(each, bits)
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(smallest, "root").select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """Rows of ``docs``, one of each group: that of the smallest id (rows without an id last), its text's digest breaking ties.
+
+    Which rows stay is settled on ids and digests; the texts meet that list in one join. Repeated rows
+    of a chosen id and text, where there are any, are thinned out afterwards.
+    """
+    each = stored(fingerprints(docs, shingle, seed, keyed=True), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+    named = each.groupBy("fp").agg(first).join(_grouped(each, bits).select("fp", "root"), "fp")
+    chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.row_key").alias("__key"))
+    again = each.groupBy("doc_id", "row_key").agg(F.count("*").alias("n")).where("n > 1").take(1)
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key"))
+    kept = docs.withColumn("__row", row_key()).join(chosen, on, "left_semi")
+    return (kept.dropDuplicates(["doc_id", "__row"]) if again else kept).select(*docs.columns)
