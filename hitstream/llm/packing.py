@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from hitstream.llm.common import OUT_ROWS, stored
 LONGEST = 4096
 END_ID = 2
 #: Words that one worker remembers the ids of; beyond that the memory starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, task int, nth long"
 #: Within these characters (Latin-1 without controls) lower-casing and the vocabulary's word pattern are the same in Python.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ÿ]*")
@@ -34,25 +35,55 @@ WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼
 
 
 class WordIds(dict):
-    """Ids (little-endian unsigned 32-bit bytes) of words of the vocabulary's pattern."""
+    """Ids (little-endian unsigned 32-bit bytes) of words of the vocabulary's pattern, remembered by a worker."""
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
         self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+
+    def learn(self, words: set[str]) -> None:
+        """Encode words not seen before as one text; ids that end a word tell them apart."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > REMEMBERED:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        """Ids of a text: word by word where Python splits it as the tokenizer does, else by the tokenizer."""
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, WORD.findall(text.lower())))
+            new = list(words)
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("the vocabulary's words do not end where its pattern ends them")
+            data, start = ids.tobytes(), 0
+            for word, end in zip(part, (4 * cuts).tolist()):
+                self[word] = data[start:end]
+                start = end
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts: word by word where Python splits them as the tokenizer does, else by the tokenizer."""
+        at = 0
+        while at < len(texts):  # some megabytes at a time
+            size, end = 0, at
+            while end < len(texts) and (end == at or size + len(texts[end]) < 2_000_000):
+                size += len(texts[end])
+                end += 1
+            split = [WORD.findall(t.lower()) if "<|" not in t and PLAIN.fullmatch(t) else None for t in texts[at:end]]
+            self.learn(set().union(*filter(None, split)))
+            for text, words in zip(texts[at:end], split):
+                yield self.whole(text) if words is None else b"".join(map(self.__getitem__, words))
+            at = end
+
+
+@cache
+def _word_ids(path: str) -> WordIds:
+    from tokenizers import Tokenizer
+
+    return WordIds(Tokenizer.from_file(path))
 
 
 def lengths(tokens: int, longest: int = LONGEST) -> list[int]:
@@ -63,17 +94,16 @@ def lengths(tokens: int, longest: int = LONGEST) -> list[int]:
 
 def _pieces(path: str, longest: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        words = WordIds(Tokenizer.from_file(path))
+        words = _word_ids(path)
         task, nth, rows = TaskContext.get().partitionId(), {}, []
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "task", "nth"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
         end, held = np.array([end_id], "<u4").tobytes(), 0
         made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.of(text.as_py() or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.of(texts)):
+                ids += end
                 total, at = len(ids) // 4, 0
                 for n in lengths(total, longest):
                     k = nth.get(n, 0)
