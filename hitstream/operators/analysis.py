@@ -97,23 +97,23 @@ def phase_exposure(series: DataFrame, by: list[str], step: int, dt: float, idx:
     Interpolated sums are linear in the samples, so each sample enters each offset once: no point is interpolated. Sample i serves offset
     i mod step alone, with the weight of its triangle (step), corrected at the two ends.
     """
-    ends = series.groupBy(*by).agg(F.count("*").alias("size"), F.sum(value).alias("whole"))
-    s = series.join(F.broadcast(ends), by).withColumn("offset", F.col(idx) % step)
+    ends = series.groupBy(*by).agg(F.count("*").alias("__size"), F.sum(value).alias("__whole"))
+    s = series.join(F.broadcast(ends), by).withColumn("__offset", F.col(idx) % step)
     # samples of an offset o: o, o + step, ..., last; m of them
-    m = F.floor((F.col("size") - 1 - F.col("offset")) / step) + 1
-    s = s.withColumn("m", m).where("m >= 2").withColumn("k", F.floor(F.col(idx) / step))
-    tail = F.col("size") - 1 - (F.col("offset") + (F.col("m") - 1) * step)
+    m = F.floor((F.col("__size") - 1 - F.col("__offset")) / step) + 1
+    s = s.withColumn("__m", m).where("__m >= 2").withColumn("__k", F.floor(F.col(idx) / step))
+    tail = F.col("__size") - 1 - (F.col("__offset") + (F.col("__m") - 1) * step)
     tri = lambda n: n * (n + 1) / (2.0 * step)  # sum of j / step for j = 1..n
     half = (step - 1) / 2.0  # sum of the falling weights strictly between two samples
-    inner = F.when((F.col("k") > 0) & (F.col("k") < F.col("m") - 1), F.lit(2 * half)).otherwise(F.lit(half))
-    lead, off = tri(F.col("offset")), F.col("offset")
-    first = F.when(F.col("k") == 0, off + lead).when(F.col("k") == 1, -lead).otherwise(F.lit(0.0))
-    last = F.when(F.col("k") == F.col("m") - 1, tail + tri(tail)).when(F.col("k") == F.col("m") - 2, -tri(tail)).otherwise(F.lit(0.0))
+    inner = F.when((F.col("__k") > 0) & (F.col("__k") < F.col("__m") - 1), F.lit(2 * half)).otherwise(F.lit(half))
+    lead, off = tri(F.col("__offset")), F.col("__offset")
+    first = F.when(F.col("__k") == 0, off + lead).when(F.col("__k") == 1, -lead).otherwise(F.lit(0.0))
+    last = F.when(F.col("__k") == F.col("__m") - 1, tail + tri(tail)).when(F.col("__k") == F.col("__m") - 2, -tri(tail)).otherwise(F.lit(0.0))
     # with two samples both ends fall on the same pair; the terms add up
     weight = F.lit(1.0) + inner + first + last
-    each = s.groupBy(*by, "offset").agg((F.sum(F.col(value) * weight) * F.lit(dt)).alias("e"), F.first("whole").alias("whole"))
-    out = each.groupBy(*by).agg(F.count("*").alias("offsets"), F.avg("e").alias("mean"), F.stddev_pop("e").alias("spread"), F.first("whole").alias("whole"))
-    true = F.col("whole") * F.lit(dt)
+    each = s.groupBy(*by, "__offset").agg((F.sum(F.col(value) * weight) * F.lit(dt)).alias("e"), F.first("__whole").alias("__whole"))
+    out = each.groupBy(*by).agg(F.count("*").alias("offsets"), F.avg("e").alias("mean"), F.stddev_pop("e").alias("spread"), F.first("__whole").alias("__whole"))
+    true = F.col("__whole") * F.lit(dt)
     return out.select(*by, "offsets", F.round(true, 6).alias("e_true"), F.round("mean", 6).alias("mean"), F.round("spread", 6).alias("spread"), F.round(F.col("spread") / true * 100, 6).alias("rel_pct"))
 
 
