@@ -164,7 +164,13 @@ def causal_pairs(pairs: DataFrame, distances: DataFrame, tolerance: float) -> Da
 
 
 def duplicate_events(current: DataFrame, history: DataFrame, time_diff: float, min_pairs: int, key: str = "event", known: str = "hist") -> DataFrame:
-    """(event, hist, matches): events with at least ``min_pairs`` pairs whose time differences agree within ``time_diff``."""
-    other = history.select(F.col(known), "a", "b", F.col("dt").alias("dt_known"))
-    close = current.join(other, ["a", "b"]).where(F.abs(F.col("dt") - F.col("dt_known")) < time_diff)
+    """(event, hist, matches): events with at least ``min_pairs`` pairs whose time differences agree within ``time_diff``.
+
+    Differences are binned by ``time_diff`` and history rows reach the bins beside their own, so the band is part of the
+    join's key and a common DU pair is spread over its bins.
+    """
+    bin_of = F.floor(F.col("dt") / F.lit(time_diff)).cast("long")
+    here = current.withColumn("__bin", bin_of)
+    other = history.select(F.col(known), "a", "b", F.col("dt").alias("dt_known"), F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("__bin"))
+    close = here.join(other, ["a", "b", "__bin"]).where(F.abs(F.col("dt") - F.col("dt_known")) < time_diff)
     return close.groupBy(key, known).agg(F.count("*").alias("matches")).where(F.col("matches") >= min_pairs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitstream.operators import filters, fragments, windows
@@ -64,10 +64,10 @@ pairs AS (SELECT x.event, least(x.du, y.du) AS a, greatest(x.du, y.du) AS b, arg
   FROM l x JOIN l y ON x.event = y.event AND x.i < y.i GROUP BY ALL)"""
 
 
-def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_lines(spark: SparkSession, sf_dir: str, du: Column | None = None) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem")
     order = F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_extendedprice")
-    return lines.select(F.col("l_orderkey").alias("event"), (F.col("l_suppkey") % 50).alias("du"), F.unix_date(F.to_date("l_shipdate")).cast("long").alias("t"), order.alias("i"))
+    return lines.select(F.col("l_orderkey").alias("event"), (F.col("l_suppkey") % 50 if du is None else du).alias("du"), F.unix_date(F.to_date("l_shipdate")).cast("long").alias("t"), order.alias("i"))
 
 
 def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,14 +95,14 @@ def causal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PAIRS}, current AS (SELECT * FROM pairs WHERE event % 2 = 0), hist AS (SELECT event AS hist, a, b, dt FROM pairs WHERE event % 2 = 1)
-SELECT event, hist, count(*) AS matches FROM current c JOIN hist h USING (a, b) WHERE abs(c.dt - h.dt) < 200 GROUP BY event, hist HAVING count(*) >= 3"""
+    f"""WITH {PAIRS.replace("l_suppkey % 50", "l_suppkey")}, current AS (SELECT * FROM pairs WHERE event % 2 = 0), hist AS (SELECT event AS hist, a, b, dt FROM pairs WHERE event % 2 = 1)
+SELECT event, hist, count(*) AS matches FROM current c JOIN hist h USING (a, b) WHERE abs(c.dt - h.dt) < 200 GROUP BY event, hist HAVING count(*) >= 2"""
 )
 def duplicate_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even orders are current events, odd ones the history: the two sides of the fingerprint join."""
-    pairs = event_pairs(spark, sf_dir)
+    pairs = filters.pairs_of(event_lines(spark, sf_dir, F.col("l_suppkey")), "event")
     history = pairs.where(F.col("event") % 2 == 1).withColumnRenamed("event", "hist")
-    return filters.duplicate_events(pairs.where(F.col("event") % 2 == 0), history, 200, 3)
+    return filters.duplicate_events(pairs.where(F.col("event") % 2 == 0), history, 200, 2)
 
 
 @query(
