@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch that generators below gather before they yield.
 OUT_ROWS = 20_000
+#: Rows of one batch of whole texts.
+TEXT_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,11 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{shared_dir.own}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: later jobs survive lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def stored(df: DataFrame, name: str, thin: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: later jobs survive lost executors.
+
+    ``thin``: a table of keys and counts behind a shuffle, small beside the texts. Up to eight of its partitions share a file (one after
+    the other in one task, so memory stays that of one partition), as long as all cores have several files to write.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if thin:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", "zstd").parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
     return back
 
@@ -50,6 +59,12 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def whole_texts(df: DataFrame) -> DataFrame:
+    """``df`` for steps that hand whole texts to Python: batches are counted in rows, and rows are long, so they hold fewer of them."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df
+
+
 def columns_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     """Null-free primitive columns as numpy arrays; binary and list columns as Arrow arrays."""
     out = {}
@@ -59,6 +74,13 @@ def columns_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return out
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small pieces: what a step makes of whole texts stays small beside the batch itself."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _cat(parts: list) -> np.ndarray | pa.Array:
     if len(parts) == 1:
         return parts[0]
@@ -137,6 +159,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = stored(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u > v").distinct(),
         "edges",
+        thin=True,
     )
     sign = None
     while True:
@@ -146,7 +169,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         sign, before = (new.n, new.h), now
-        now = stored(_star(before), "edges")
+        now = stored(_star(before), "edges", thin=True)
         dropped(before)
 
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hitstream.llm.common import whole_texts
+
 #: Labelled texts that a model is fitted on, in all; a documented bound.
 SAMPLE = 4000
 #: Columns that byte n-grams hash into.
@@ -72,18 +74,20 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 25) -> np.n
 
     y holds 1 and -1; both sides weigh the same in total.
     """
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(np.float64)
     cost = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum())) * c * len(y) / 2
-    w = np.zeros(x.shape[1])
-    value = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v)) ** 2).sum()
+    w = np.zeros(x.shape[1] + 1)
+    # the bias stands apart, so that the sample is never copied
+    at = lambda v: (x @ v[:-1].astype(x.dtype)).astype(np.float64) + v[-1]
+    back = lambda u: np.append((u.astype(x.dtype) @ x).astype(np.float64), u.sum())
+    value = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - y * at(v)) ** 2).sum()
     now = value(w)
     for _ in range(rounds):
-        on = y * (x @ w) < 1
-        xs, cs = x[on], cost[on]
-        grad = w + 2 * xs.T @ (cs * (xs @ w - y[on]))
+        out = at(w)
+        on = np.where(y * out < 1, cost, 0.0)
+        grad = w + 2 * back(on * (out - y))
         if np.linalg.norm(grad) < 1e-6 * max(1, now):
             break
-        step = -_solve(xs, cs, grad)
+        step = -_solve(at, back, on, grad)
         t = 1.0
         while (new := value(w + t * step)) > now + 1e-4 * t * (grad @ step) and t > 1e-6:
             t /= 2
@@ -93,13 +97,13 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 25) -> np.n
     return w.astype(np.float32)
 
 
-def _solve(xs: np.ndarray, cs: np.ndarray, grad: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """(I + 2 X'CX) d = grad by conjugate gradients."""
+def _solve(at, back, on: np.ndarray, grad: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """(I + 2 X'CX) d = grad by conjugate gradients; ``on`` holds the costs of the support and 0 elsewhere."""
     d, r = np.zeros_like(grad), grad.copy()
     p, rr = r.copy(), r @ r
     stop = 1e-8 * rr
     for _ in range(rounds):
-        q = p + 2 * xs.T @ (cs * (xs @ p))
+        q = p + 2 * back(on * at(p))
         a = rr / (p @ q)
         d += a * p
         r -= a * q
@@ -184,7 +188,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, columns: int = COLUMNS) -> Mo
     One aggregation counts the labels; texts whose hash falls below their language's share are turned into
     feature vectors where they lie, and only those (8 kB each) reach the driver.
     """
-    usable = labelled.select("text", "lang").where("lang is not null and text rlike '\\\\p{L}'")
+    usable = whole_texts(labelled).select("text", "lang").where("lang is not null and text rlike '\\\\p{L}'")
     counts = {r.lang: r.n for r in labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model()
@@ -196,7 +200,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, columns: int = COLUMNS) -> Mo
     drawn = usable.where(draw < rate).select("lang", "text").dropDuplicates(["lang", "text"])
     rows = drawn.mapInArrow(_feature_rows(columns), "lang string, x binary").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))
-    return Model.fit(np.stack([np.frombuffer(r.x, np.float32) for r in rows]), [r.lang for r in rows]) if rows else Model()
+    langs, x = [r.lang for r in rows], np.empty((len(rows), columns), np.float32)
+    for i in range(len(rows) - 1, -1, -1):  # the collected rows go as the matrix fills
+        x[i] = np.frombuffer(rows.pop().x, np.float32)
+    return Model.fit(x, langs)
 
 
 def _predictions(model: Model, columns: int, text: str, drop: bool):
@@ -220,7 +227,7 @@ def _predictions(model: Model, columns: int, text: str, drop: bool):
 def predict(docs: DataFrame, model: Model, columns: int = COLUMNS, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default doc_id) with lang_pred and score; texts are read where they lie, nothing shuffles."""
     keep = keep or ["doc_id"]
-    thin = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    thin = whole_texts(docs).select(*keep, F.col("text").cast("string").alias("__text"))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
     return thin.mapInArrow(_predictions(model, columns, "__text", True), schema)
 
@@ -232,7 +239,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
     """Rows of ``docs`` whose language is recognised: not ``und`` and scored ``least`` or more."""
-    names = docs.columns
+    names = whole_texts(docs).columns
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "__lang_pred string", "__score double"])
     out = docs.mapInArrow(_predictions(model, COLUMNS, "text", False), schema)  # by position: the text goes through Python once
     return out.where((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).select(*names)

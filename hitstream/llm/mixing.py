@@ -150,11 +150,11 @@ def schedule(
     """
     thin = docs.select(row_key().alias("__key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), (words() if tokens is None else tokens).alias("t"))
     rows = thin.groupBy("__key", "doc_id", "source").agg(F.count("*").alias("copies"), F.sum("t").cast("long").alias("tokens"))
-    rows = stored(rows, "mix")
-    totals = stored(source_totals(rows), "totals")
+    rows = stored(rows, "mix", thin=True)
+    totals = stored(source_totals(rows), "totals", thin=True)
     if not totals.take(1):
         return rows.select("*", *[F.lit(0).cast("long").alias(c) for c in ("mix_epoch", "mix_block", "mix_rank")])
-    weights = stored(weigh(totals, solve_exponent(totals, target_entropy, max_epochs), budget), "weights")
+    weights = stored(weigh(totals, solve_exponent(totals, target_entropy, max_epochs), budget), "weights", thin=True)
     blocks = max(1, math.ceil(weights.agg(F.sum("budget").alias("b")).first().b / block_tokens))
     per = weights.select(
         F.col("source").alias("s"), "n", F.col("budget").alias("part"), F.greatest(F.lit(1), F.ceil(F.col("docs") / RANGE)).cast("long").alias("ranges")
@@ -184,7 +184,8 @@ def oracle_sql(max_epochs: float = MAX_EPOCHS, seed: int = SEED, block_tokens: i
     return rf"""WITH rows_ AS (
   SELECT key, doc_id, source, count(*) AS copies, sum(t)::BIGINT AS tokens FROM (
     SELECT md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), coalesce(text, ''))) AS key, doc_id, source,
-           greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))) AS t FROM documents) GROUP BY ALL),
+           greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))) AS t FROM documents) GROUP BY ALL),
 totals AS (SELECT source, sum(tokens)::BIGINT AS n FROM rows_ GROUP BY source),
 spread AS (SELECT max(n)::DOUBLE / min(n) AS r FROM totals),
 solved AS (

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hitstream.llm.common import OUT_ROWS, stored
+from hitstream.llm.common import OUT_ROWS, stored, whole_texts
 
 LONGEST = 4096
 END_ID = 2
-#: Words that one worker remembers the ids of; beyond that the memory starts afresh.
+#: Words that one worker remembers the ids of, in two generations: words in use move to the young one, the old one is let go when that is full.
 REMEMBERED = 600_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, task int, nth long"
 #: Within these characters (Latin-1 without controls) lower-casing and the vocabulary's word pattern are the same in Python.
@@ -39,7 +39,7 @@ class WordIds(dict):
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.old = tokenizer, {}
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -47,9 +47,12 @@ class WordIds(dict):
     def learn(self, words: set[str]) -> None:
         """Encode words not seen before as one text; ids that end a word tell them apart."""
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED:
+        if 2 * (len(self) + len(new)) > REMEMBERED:
+            self.old = dict(self)
             self.clear()
             new = list(words)
+        self.update((w, self.old[w]) for w in new if w in self.old)
+        new = [w for w in new if w not in self.old]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -126,7 +129,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, end_id: i
     One pass cuts the documents where they are read and stores the pieces; sequence numbers then come from
     counts per task and length, a table of at most 13 rows a task.
     """
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    thin = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = stored(thin.mapInArrow(_pieces(tokenizer_path, longest, end_id), PIECES), "pieces")
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.orderBy(F.desc("length"), "task").rowsBetween(Window.unboundedPreceding, -1)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitstream.llm.common import stored
+from hitstream.llm.common import sliced, stored, whole_texts
 
 #: Share of an entity's information content that a term may give away.
 DISCLOSES = 0.9
@@ -166,7 +166,7 @@ def text_key(text: str = "text"):
 
 def detect(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """Base findings and their contexts, one row per document; texts are read where they lie."""
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+    thin = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
     return thin.mapInArrow(_detect(reach), FOUND)
 
 
@@ -192,12 +192,12 @@ def disclosing(docs: DataFrame, found: DataFrame, discloses: float = DISCLOSES,
     so the corpus-wide shuffle holds candidate terms alone.
     """
     met = found.select(F.explode("contexts").alias("c")).select("c.entity", "c.term", "c.line").distinct()
-    pairs = stored(met.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support), "pairs")
-    own = stored(met.select("entity", "line").distinct().groupBy("entity").agg(F.count("*").alias("of_entity")).where(F.col("of_entity") >= support), "entities")
+    pairs = stored(met.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support), "pairs", thin=True)
+    own = stored(met.select("entity", "line").distinct().groupBy("entity").agg(F.count("*").alias("of_entity")).where(F.col("of_entity") >= support), "entities", thin=True)
     terms = pairs.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
     seen = texts.mapInArrow(_term_lines, "term string, lines long").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("lines").alias("of_term"))
-    seen = stored(seen, "terms")
+    seen = stored(seen, "terms", thin=True)
     total = seen.where("term = ''").agg(F.coalesce(F.max("of_term"), F.lit(1)).alias("n")).first().n
     share = F.log(F.col("both") * F.lit(float(total)) / (F.col("of_entity") * F.greatest("of_term", "both"))) / F.log(F.lit(float(total)) / F.col("of_entity"))
     scored = pairs.join(own, "entity").join(seen, "term").where(F.col("of_entity") < F.lit(total)).withColumn("share", share)
@@ -249,7 +249,7 @@ def sanitised(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def _sanitise(text_at: int, spans_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [
                 t if not s else sanitised(t, [(x["start"], x["end"], x["kind"]) for x in s])
                 for t, s in zip(batch.column(text_at).to_pylist(), batch.column(spans_at).to_pylist())
@@ -268,8 +268,8 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     """
     names = docs.columns
     spans = findings(docs, **options).select("doc_id", "text_key", F.concat("spans", "terms").alias("__spans")).where(F.size("__spans") > 0)
-    spans = stored(spans.dropDuplicates(["doc_id", "text_key"]), "spans").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "__spans")
-    keyed = docs.withColumn("__key", text_key())
+    spans = stored(spans.dropDuplicates(["doc_id", "text_key"]), "spans", thin=True).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "__spans")
+    keyed = whole_texts(docs).withColumn("__key", text_key())
     joined = keyed.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
     joined = joined.select(*names, "__spans")
     return joined.mapInArrow(_sanitise(names.index("text"), len(names)), docs.schema)

@@ -151,7 +151,7 @@ def _compare(cosine: float):
                     [pa.array(ea + ids[some].tolist(), pa.int64()), pa.array(eb + [None] * len(some), pa.int64()), pa.array([None] * n + links[some].tolist(), pa.int64())],
                     ["a", "b", "n"],
                 )
-            if len(known.up) > 2_000_000:
+            if len(known.up) > 500_000:
                 known = Forest()
 
     return run
@@ -162,7 +162,7 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(usable(vector) & F.col(vec_id).isNotNull(), F.col(vector).cast("array<double>")).alias("v"))
     classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     # numbered once, when the table is written: ids may repeat with different vectors
-    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "vectors", thin=True)
     bits, count = tables(classes.count(), cosine, cell=cell)
     each = classes.select("id", "copies", "v").mapInArrow(_rows(bits, count), ROWS)
     size = each.groupBy("dim", "slot", "cell").agg(F.count("*").alias("size")).where(F.col("size") > block)
@@ -171,7 +171,7 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id
     each = each.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     at = ["dim", "slot", "cell", "i", "j"]
     each = each.select("dim", "slot", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "copies", "keys", "factor", "v")
-    found = stored(each.repartition(*at).sortWithinPartitions(*at, "id").mapInArrow(_compare(cosine), "a long, b long, n long"), "links")
+    found = stored(each.repartition(*at).sortWithinPartitions(*at, "id").mapInArrow(_compare(cosine), "a long, b long, n long"), "links", thin=True)
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "id")
     named = classes.join(counts, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitstream.llm.common import Forest, connected_components, runs, stored
+from hitstream.llm.common import Forest, connected_components, runs, stored, whole_texts
 
 BITS = 4
 SHINGLE = 4
@@ -74,7 +74,7 @@ def row_key():
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keyed: bool = False) -> DataFrame:
     """doc_id, row_key (empty unless ``keyed``) and fp (the fingerprint's bits as a long) of every row."""
     key = row_key() if keyed else F.lit("").alias("row_key")
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, F.col("text").cast("binary").alias("text"))
+    thin = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), key, F.col("text").cast("binary").alias("text"))
     return thin.mapInArrow(_fingerprints(shingle, seed), "doc_id long, row_key string, fp long")
 
 
@@ -154,10 +154,10 @@ def _links(bits: int):
             if len(fp) > 1:
                 dist = np.frombuffer(b"".join(g["dist"].to_pylist()), dtype=np.uint8).reshape(len(fp), -1)
                 edges += [e for x, y in near(fp.view(np.uint64), dist, bits) if known.join(*(e := (int(fp[x]), int(fp[y]))))]
-            if len(edges) > 20_000 or len(known.up) > 2_000_000:
+            if len(edges) > 20_000 or len(known.up) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], names) if edges else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names)
                 edges = []
-                if len(known.up) > 2_000_000:
+                if len(known.up) > 500_000:
                     known = Forest()
         if edges:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], names)
@@ -188,7 +188,7 @@ def links(distinct: DataFrame, count: int, bits: int = BITS, pivots: int = PIVOT
 
 def _grouped(each: DataFrame, bits: int) -> DataFrame:
     """(fp, root, least): the group and the smallest id of every distinct fingerprint of a stored table."""
-    classes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes", thin=True)
     roots = connected_components(links(classes.select("fp"), classes.count(), bits))
     return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
