@@ -27,19 +27,30 @@ from hitstream.llm.common import OUT_ROWS, stored, whole_texts
 LONGEST = 4096
 END_ID = 2
 #: Words that one worker remembers the ids of, in two generations: words in use move to the young one, the old one is let go when that is full.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, task int, nth long"
 #: Within these characters (Latin-1 without controls) lower-casing and the vocabulary's word pattern are the same in Python.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ÿ]*")
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
+def _without_splitting(tokenizer):
+    """The same vocabulary for words that are already normalised and split: white space alone separates them."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    plain = Tokenizer.from_str(tokenizer.to_str())
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return plain
+
+
 class WordIds(dict):
     """Ids (little-endian unsigned 32-bit bytes) of words of the vocabulary's pattern, remembered by a worker."""
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
         self.tokenizer, self.old = tokenizer, {}
+        self.plain = _without_splitting(tokenizer)
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -53,16 +64,16 @@ class WordIds(dict):
             new = list(words)
         self.update((w, self.old[w]) for w in new if w in self.old)
         new = [w for w in new if w not in self.old]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                raise ValueError("the vocabulary's words do not end where its pattern ends them")
-            data, start = ids.tobytes(), 0
-            for word, end in zip(part, (4 * cuts).tolist()):
-                self[word] = data[start:end]
-                start = end
+        parts = [" ".join(new[at : at + 256]) for at in range(0, len(new), 256)]
+        found = self.plain.encode_batch_fast(parts, add_special_tokens=False)
+        ids = np.array([i for f in found for i in f.ids], "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(new):
+            raise ValueError("the vocabulary's words do not end where its pattern ends them")
+        data, start = ids.tobytes(), 0
+        for word, end in zip(new, (4 * cuts).tolist()):
+            self[word] = data[start:end]
+            start = end
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
