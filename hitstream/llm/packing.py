@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hitstream.llm.common import OUT_ROWS, stored, whole_texts
+from hitstream.operators.lookups import small
 
 LONGEST = 4096
 END_ID = 2
@@ -142,9 +143,10 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, end_id: i
     """
     thin = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = stored(thin.mapInArrow(_pieces(tokenizer_path, longest, end_id), PIECES), "pieces")
-    counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
+    counts = stored(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "counts", thin=True)
     before = Window.orderBy(F.desc("length"), "task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return pieces.join(base, ["length", "task"]).select(
+    # few tasks: their table goes to the pieces; many: both sides are shuffled
+    return pieces.join(small(base), ["length", "task"]).select(
         "doc_id", "start", "length", "ids", "doc_tokens", (F.col("base") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
