@@ -70,7 +70,7 @@ def recent(records: DataFrame, log: DataFrame | None = None, limit: int = 200) -
     if log is not None:
         seq = F.struct(F.lit(1).alias("src"), F.lit("").alias("run"), F.lit("").alias("day"), "file", "line", F.lit(0).alias("pos"))
         zero = F.lit(0).cast("long")
-        ev = ev.unionByName(log.select(seq.alias("seq"), "observed_ms", "tag", "event_ts_ns", zero.alias("expected"), zero.alias("attached"), F.lit(1).cast("long").alias("missing_count"), F.array().cast("array<bigint>").alias("missing_du"), F.lit("csdaq_log_timeout").alias("source")))
+        ev = ev.unionByName(log.select(seq.alias("seq"), "observed_ms", "tag", "event_ts_ns", zero.alias("expected"), zero.alias("attached"), F.lit(1).cast("long").alias("missing_count"), F.array().cast("array<bigint>").alias("missing_du"), F.lit("console_log").alias("source")))
     ev = ev.withColumn("score", text.detail_score(F.col("missing_du"), F.col("expected"), F.col("attached")))
     keep = ["observed_ms", "expected", "attached", "missing_count", "missing_du", "source"]
     return telemetry.recent_events(ev, ["tag", "event_ts_ns"], "seq", "score", limit, keep).drop("last").orderBy("observed_ms", "tag")

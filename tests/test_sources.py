@@ -148,7 +148,7 @@ def test_log_fallback_needs_parse_errors(spark, tmp_path):
     good = health("2026-04-29T08:06:53Z", builder(100, 0), buckets=[])
     bad = {"ts": "2026-04-29T08:06:58Z", "raw": "health_parse_error"}
     line = "[2026/04/29 16:{}] [WARN] Builder diag type=Timeout tag={} du_id=0 trigger_number=0 fragment_trigger_time=0 event_trigger_timestamp_ns={}"
-    log = logs.timeout_log(spark, write(tmp_path / "csdaq_20260428_091336.log", line.format("06:58.136", 848728, 8390296971816438) + "\n" + line.format("16:47.9", 961470, 8390886915034485) + "\nother\n"))
+    log = logs.timeout_log(spark, write(tmp_path / "console_20260428_091336.log", line.format("06:58.136", 848728, 8390296971816438) + "\n" + line.format("16:47.9", 961470, 8390886915034485) + "\nother\n"))
     assert sorted(r.observed_ms % 1000 for r in log.collect()) == [136, 900]
     rec = logs.health_records(spark, jsonl(tmp_path / "health_20260428_091336.jsonl", good, bad, "{broken"))
     assert tuple(logs.scan_quality(rec).first()) == (3, 1, 1, 1)
