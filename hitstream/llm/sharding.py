@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hitstream.llm.common import stored
+
 #: Virtual slots: fixed for the life of a corpus, some hundreds for each shard ever planned.
 SLOTS = 8192
 #: Bytes that a record takes besides its text.
@@ -110,7 +112,7 @@ def assign(records: DataFrame, slot_map: DataFrame, version: int) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """(records with shards, the map with its versions): version 0 deals slots in turn, 1 balances bytes."""
     spark = docs.sparkSession
-    records = slotted(docs, slots)
+    records = stored(slotted(docs, slots), "records")  # the texts are read once
     weight = slot_bytes(records, slots)
     start = first_map(slots, shards)
     table = map_table(spark, [start, rebalanced(start, weight, shards)])
