@@ -49,14 +49,31 @@ def stored(df: DataFrame, name: str, thin: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
+    MADE.add(path)
     return back
 
 
+#: Tables of ``stored`` that this driver has made and not deleted.
+MADE: set[str] = set()
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    MADE.discard(where)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table of ``stored`` that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.stored_at)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables of ``stored`` still there, once the results that read them have been written; returns how many."""
+    left = list(MADE)
+    for where in left:
+        _delete(spark, where)
+    return len(left)
 
 
 def whole_texts(df: DataFrame) -> DataFrame:
