@@ -53,12 +53,12 @@ def pair_differences(du, t, canonical_sign: bool = False) -> Pairs:
 
     The sign follows list order (earlier minus later); ``canonical_sign`` makes it smaller id minus larger.
     """
-    out: Pairs = {}
-    for i in range(len(du)):
-        for j in range(i + 1, len(du)):
-            a, b, d = int(du[i]), int(du[j]), int(t[i]) - int(t[j])
-            out[min(a, b), max(a, b)] = -d if canonical_sign and a > b else d
-    return out
+    du, t = np.asarray(du, dtype=np.int64), np.asarray(t, dtype=np.int64)
+    i, j = np.triu_indices(len(du), 1)  # in list order, so that the last of a repeated pair stays in the dictionary
+    diff = t[i] - t[j]
+    if canonical_sign:
+        diff = np.where(du[i] > du[j], -diff, diff)
+    return dict(zip(zip(np.minimum(du[i], du[j]).tolist(), np.maximum(du[i], du[j]).tolist()), diff.tolist()))
 
 
 def adjacency(du, t, distances: dict[tuple[int, int], float], tolerance: float) -> list[int]:

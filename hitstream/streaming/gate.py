@@ -192,24 +192,24 @@ def replay(arrivals: DataFrame, config: GateConfig, array: str = "array", prompt
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gate, current, last = Gate(config), None, 0
 
-        def frame(rows: list[Closed], key) -> pd.DataFrame:
-            out = pd.DataFrame([[key, *vars(r).values()] for r in rows], columns=[array, *COLUMNS])
-            return out
+        def flushed() -> list[list]:
+            if current is None:
+                return []
+            return [[current, *vars(c).values()] for c in (_advance(gate, 1 << 62, True) if prompt else gate.drain(last))]
 
         for batch in batches:
+            out: list[list] = []
             for key, now, du, t in batch[[array, "arrival", "du", "t"]].itertuples(index=False):
                 if key != current:
-                    if current is not None:
-                        yield frame(_advance(gate, 1 << 62, prompt) if prompt else gate.drain(last), current)
+                    out += flushed()
                     gate, current = Gate(config), key
                 last = now
-                out = _advance(gate, now, prompt)
+                closed = _advance(gate, now, prompt)
                 gate.arrive(now, du, [t], replace=False)
-                out += gate.poll(now)
-                if out:
-                    yield frame(out, key)
-        if current is not None:
-            yield frame(_advance(gate, 1 << 62, prompt) if prompt else gate.drain(last), current)
+                closed += gate.poll(now)
+                out += [[key, *vars(c).values()] for c in closed]
+            yield pd.DataFrame(out, columns=[array, *COLUMNS])
+        yield pd.DataFrame(flushed(), columns=[array, *COLUMNS])
 
     kind = arrivals.schema[array].dataType.simpleString()
     rows = arrivals.select(array, "arrival", "seq", "du", "t")
