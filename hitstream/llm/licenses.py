@@ -102,7 +102,7 @@ def registry_table(spark: SparkSession) -> DataFrame:
 
 
 #: Words that any known licence holds; a unit without one of them needs no canonical form.
-MARK = r"(?i)licen[cs]e|permission|public domain|as.is"
+MARK = r"(?i)licen[cs]e|permission|public domain"
 
 
 def units(docs: DataFrame) -> DataFrame:

@@ -46,3 +46,10 @@ def test_python_and_spark_agree_on_the_canonical_form(spark):
 
 def test_odd_rows_and_empty(spark, odd, empty):
     assert licenses.find(odd).count() == 0 and licenses.find(empty).count() == 0
+
+
+def test_every_known_text_carries_the_mark():
+    import re
+
+    known = [*(t for ts in licenses.NOTICES.values() for t in ts), *(t for _, t in licenses.COMMONS), *licenses.TEXTS.values()]
+    assert all(re.search(licenses.MARK, t) for t in known) and len(known) > 50
