@@ -9,9 +9,9 @@ occurrences in contexts of that entity become spans of kind ``term``. Probabilit
 an observation, an entity's context is the words within ``REACH`` words of it on its line. Terms with digits are
 generalised to their shape, all others removed.
 
-Counts cover every whole text: entities, contexts and the document side of every candidate term are counted
-over the whole corpus by aggregations that combine before they shuffle. Repeated contexts (exact copies of a
-line) count once, so copies of a document are no evidence. Whole texts are read twice and never shuffled by the query.
+Counts cover every whole text and are of different lines throughout, on the side of the entities and on that of the
+corpus: copies of a line count once, so copies of a document are neither evidence for a term nor against it.
+Whole texts are read three times and never shuffled by the query.
 
 Defined cases: a null text is empty and has no spans; spans are code points, end exclusive; repeated rows each get
 their row; a corpus without entities has base counts of zero and no term spans; other columns are ignored.
@@ -23,7 +23,9 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,37 +172,101 @@ def detect(docs: DataFrame, reach: int = REACH) -> DataFrame:
     return thin.mapInArrow(_detect(reach), FOUND)
 
 
-def _term_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, count of lines) summed per batch: combined before anything is shuffled."""
+#: Bits of a sketch of terms. Where terms are many, more words pass it, which costs time and changes no result.
+SKETCH = 1 << 20
+
+
+def _sketch(terms: DataFrame) -> bytes:
+    """A bit for each hash that a term of the column ``term`` has; at most SKETCH numbers reach the driver, however many terms there are."""
+    marks = np.zeros(SKETCH, dtype=np.uint8)
+    at = terms.select((F.crc32(F.col("term").cast("binary")) % SKETCH).cast("int").alias("at")).distinct().toPandas()["at"].to_numpy()
+    marks[at.astype(np.int64)] = 1
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+class _Passing(dict):
+    """Whether a sketch lets a word pass, remembered for the words of a task."""
+
+    def __init__(self, sketch: bytes) -> None:
+        super().__init__()
+        self.sketch = sketch
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        at = crc32(word.encode("utf-8", "surrogatepass")) % SKETCH
+        self[word] = found = bool(self.sketch[at >> 3] >> (at & 7) & 1)
+        return found
+
+
+def _distinct_lines(texts: Iterator) -> Iterator[tuple[int, set[str]]]:
+    """(hash, terms) of the different lines of one batch."""
+    import xxhash
+
+    known = set()
+    for value in texts:
+        for m in LINE.finditer(value.as_py() or ""):
+            line = m[0]
+            key = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+            if key not in known:
+                known.add(key)
+                yield key - (1 << 63), set(map(str.lower, WORD.findall(line)))
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, different lines) per batch: no batch's count is above that of the corpus. The empty term counts all lines."""
     from collections import Counter
 
     for batch in batches:
         n: Counter = Counter()
         lines = 0
-        for value in batch.column(0):
-            for m in LINE.finditer(value.as_py() or ""):
-                lines += 1
-                n.update(set(WORD.findall(m[0].lower())))
+        for _, terms in _distinct_lines(batch.column(0)):
+            lines += 1
+            n.update(terms)
         n[""] = lines  # no word is empty: the number of lines
         yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["term", "lines"])
 
 
+def _term_lines(sketch: bytes):
+    """(term, line) of words that pass the sketch, and every line with the empty term; once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = _Passing(sketch)
+        for batch in batches:
+            rows = []
+            for key, terms in _distinct_lines(batch.column(0)):
+                rows += [("", key), *((t, key) for t in terms if passes[t])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64()))], ["term", "line"])
+
+    return run
+
+
 def disclosing(docs: DataFrame, found: DataFrame, discloses: float = DISCLOSES, support: int = SUPPORT) -> DataFrame:
     """(entity, term, share): pairs whose share of the entity's information content reaches ``discloses``.
 
-    Pairs need ``support`` different lines in which they meet; only their terms are counted over the whole corpus,
-    so the corpus-wide shuffle holds candidate terms alone.
+    All counts are of different lines. Pairs need ``support`` of them in which they meet. A first pass over the corpus bounds each
+    candidate term's lines from below and so rules out common words; the lines of the others are told apart in a second one.
     """
     met = found.select(F.explode("contexts").alias("c")).select("c.entity", "c.term", "c.line").distinct()
     pairs = stored(met.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support), "pairs", thin=True)
     own = stored(met.select("entity", "line").distinct().groupBy("entity").agg(F.count("*").alias("of_entity")).where(F.col("of_entity") >= support), "entities", thin=True)
-    terms = pairs.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    seen = texts.mapInArrow(_term_lines, "term string, lines long").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("lines").alias("of_term"))
-    seen = stored(seen, "terms", thin=True)
+    nothing = docs.sparkSession.createDataFrame([("",)], "term string")
+    texts = whole_texts(docs).select(F.col("text").cast("string").alias("text")).where("text is not null")
+    counts = texts.mapInArrow(_term_counts, "term string, lines long").join(pairs.select("term").distinct().unionByName(nothing), "term", "left_semi")
+    counts = stored(counts.groupBy("term").agg(F.max("lines").alias("least"), F.sum("lines").alias("most")), "counts", thin=True)
+    most = counts.where("term = ''").agg(F.coalesce(F.max("most"), F.lit(1)).alias("n")).first().n
+    # share >= discloses means of_term <= both * (total / of_entity) ** (1 - discloses), and total <= most
+    bound = F.col("both") * F.pow(F.lit(float(most)) / F.col("of_entity"), F.lit(1 - discloses)) * (1 + 1e-9)
+    left = pairs.join(own, "entity").join(counts.select("term", "least"), "term").where(F.col("least") <= bound).select("entity", "term", "both", "of_entity")
+    left = stored(left, "candidates", thin=True)
+    terms = left.select("term").distinct()
+    # counted before they meet the candidates: the empty term stands in every line
+    lines = texts.mapInArrow(_term_lines(_sketch(terms)), "term string, line long").distinct().groupBy("term").agg(F.count("*").alias("of_term"))
+    seen = stored(lines.join(terms.unionByName(nothing), "term", "left_semi"), "terms", thin=True)
     total = seen.where("term = ''").agg(F.coalesce(F.max("of_term"), F.lit(1)).alias("n")).first().n
     share = F.log(F.col("both") * F.lit(float(total)) / (F.col("of_entity") * F.greatest("of_term", "both"))) / F.log(F.lit(float(total)) / F.col("of_entity"))
-    scored = pairs.join(own, "entity").join(seen, "term").where(F.col("of_entity") < F.lit(total)).withColumn("share", share)
+    scored = left.join(seen, "term").where(F.col("of_entity") < F.lit(total)).withColumn("share", share)
     return scored.where(F.col("share") >= discloses).select("entity", "term", "share")
 
 

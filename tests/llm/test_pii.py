@@ -68,6 +68,14 @@ def test_copies_are_no_evidence(spark):
     assert not [r for r in pii.findings(docs).collect() if r.terms]
 
 
+def test_copies_of_every_document_change_no_term(spark):
+    texts = [*LINES, *(f"the report wrote mail about number{i} by nobody" for i in range(60))]
+    few = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    many = spark.createDataFrame([(100 * i + k, t) for i, t in enumerate(texts) for k in range(50 if i < len(LINES) else 1)], "doc_id long, text string")
+    flagged = [{(r.entity, r.term) for r in pii.disclosing(d, pii.detect(d)).collect()} for d in (few, many)]
+    assert flagged[0] == flagged[1] == {("email:qx.7@mail.example.com", "zorblatt")}
+
+
 def test_sanitised_spans_overlap():
     text = "+14111 1111 1111 1112 x1y"
     assert pii.sanitised(text, [(0, 21, "phone"), (1, 21, "card"), (22, 25, "term")]) == "[PHONE] x0y"
