@@ -4,14 +4,14 @@ Base detection finds e-mail addresses, IPv4 addresses, payment cards and phone n
 The corpus then tells which terms reveal them. For a term t in the context of an entity e, pointwise mutual
 information log(p(e, t) / (p(e) p(t))) is compared with the entity's information content -log p(e): their
 ratio is the share of the entity that the term discloses (1: the term occurs only where the entity does). Pairs
-whose ratio reaches ``DISCLOSES``, on the evidence of at least ``SUPPORT`` different contexts, are disclosing, and the term's
-occurrences in contexts of that entity become spans of kind ``term``. Probabilities are over lines: a line is
+whose ratio reaches ``DISCLOSES``, on the evidence of at least ``SUPPORT`` different contexts, are disclosing, and all
+occurrences of the term, in whatever document, become spans of kind ``term``. Probabilities are over lines: a line is
 an observation, an entity's context is the words within ``REACH`` words of it on its line. Terms with digits are
 generalised to their shape, all others removed.
 
 Counts cover every whole text and are of different lines throughout, on the side of the entities and on that of the
 corpus: copies of a line count once, so copies of a document are neither evidence for a term nor against it.
-Whole texts are read three times and never shuffled by the query.
+Whole texts are read four times and never shuffled by the query.
 
 Defined cases: a null text is empty and has no spans; spans are code points, end exclusive; repeated rows each get
 their row; a corpus without entities has base counts of zero and no term spans; other columns are ignored.
@@ -166,10 +166,13 @@ def text_key(text: str = "text"):
     return F.concat_ws(":", F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+
+
 def detect(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """Base findings and their contexts, one row per document; texts are read where they lie."""
-    thin = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    return thin.mapInArrow(_detect(reach), FOUND)
+    return _keyed(docs).mapInArrow(_detect(reach), FOUND)
 
 
 #: Bits of a sketch of terms. Where terms are many, more words pass it, which costs time and changes no result.
@@ -270,14 +273,39 @@ def disclosing(docs: DataFrame, found: DataFrame, discloses: float = DISCLOSES,
     return scored.where(F.col("share") >= discloses).select("entity", "term", "share")
 
 
+def _occurrences(sketch: bytes):
+    """(doc_id, text_key, term, start, end) of all words that pass the sketch and stand outside base findings."""
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not any(sketch):
+            return
+        passes = _Passing(sketch)
+        for batch in batches:
+            rows = []
+            for doc, key, value in zip(*batch.columns):
+                text = value.as_py() or ""
+                hits = [(m.start(), m.end(), w) for m in WORD.finditer(text) if passes[w := m[0].lower()]]
+                if hits:
+                    spans = base_spans(text)
+                    starts, furthest = [s for s, _, _ in spans], list(accumulate((e for _, e, _ in spans), max))
+                    for s, e, word in hits:
+                        k = bisect_right(starts, e - 1)
+                        if not k or furthest[k - 1] <= s:
+                            rows.append((doc.as_py(), key.as_py(), word, s, e))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "text_key", "term", "start", "end"])
+
+    return run
+
+
 def findings(docs: DataFrame, discloses: float = DISCLOSES, support: int = SUPPORT, reach: int = REACH) -> DataFrame:
     """doc_id, text_key, spans: base findings and disclosing terms of every row of ``docs``."""
     found = stored(detect(docs, reach), "found")
-    flagged = disclosing(docs, found, discloses, support)
-    each = found.where(F.size("contexts") > 0).select("doc_id", "text_key", F.explode("contexts").alias("c"))
-    each = each.select("doc_id", "text_key", "c.entity", "c.term", "c.start", "c.end")
+    flagged = stored(disclosing(docs, found, discloses, support).select("term").distinct(), "flagged", thin=True)
     extra = (
-        each.join(flagged.select("entity", "term"), ["entity", "term"], "left_semi")
+        _keyed(docs).mapInArrow(_occurrences(_sketch(flagged)), "doc_id long, text_key string, term string, start int, end int")
+        .join(flagged, "term", "left_semi")
         .groupBy("doc_id", "text_key")
         .agg(F.collect_set(F.struct("start", "end", F.lit("term").alias("kind"))).alias("extra"))
         .select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "extra")

@@ -76,6 +76,18 @@ def test_copies_of_every_document_change_no_term(spark):
     assert flagged[0] == flagged[1] == {("email:qx.7@mail.example.com", "zorblatt")}
 
 
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    far = "qx.7@mail.example.com " + "so it went on " * 4 + "Zorblatt said\nand zorblatt went"
+    lines = [f"note{i} zorblatt qx.7@mail.example.com item{i}" for i in range(20)]
+    texts = [*lines, far, "nobody else but zorblatt", "a@zorblatt.org", *(f"the report wrote mail about number{i} by nobody" for i in range(900))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: [texts[r.doc_id][t.start : t.end] for t in sorted(r.terms)] for r in pii.findings(docs).collect()}
+    assert out[20] == ["Zorblatt", "zorblatt"] and out[21] == ["zorblatt"] and out[22] == []
+    assert all(out[i] == ["zorblatt"] for i in range(20)) and not any(out[i] for i in range(23, len(texts)))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any("zorblatt" in t.lower() for t in clean.values())
+
+
 def test_sanitised_spans_overlap():
     text = "+14111 1111 1111 1112 x1y"
     assert pii.sanitised(text, [(0, 21, "phone"), (1, 21, "card"), (22, 25, "term")]) == "[PHONE] x0y"
