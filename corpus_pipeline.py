@@ -3,7 +3,8 @@
 1. language: documents whose language is not recognised go.
 2. simhash: of each group of near-duplicates one document stays.
 3. pii: personal data is masked, terms that reveal it are generalised or removed; no document goes.
-4. mixing: sources are brought to their weights by whole passes over the small ones; no document goes.
+4. mixing: sources are brought to their weights by whole passes over the small ones; no document goes. Rows are written in the
+   order of their blocks, each of which holds the sources in proportion, so every stretch of a file does.
 5. packing: documents become power-of-two pieces of token ids, one sequence each.
 
 All stages but the last return the columns of their input.
@@ -32,7 +33,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*docs.columns)
+    mixed = mixing.mix(docs)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartitionByRange(n, "mix_block", "mix_rank").sortWithinPartitions("mix_block", "mix_rank").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

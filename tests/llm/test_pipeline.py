@@ -88,6 +88,15 @@ def test_mixing_against_brute_force(stages):
         assert want - 2 <= part <= want + max(len(r.text.split()) for r in docs if r.source == source) + 2
 
 
+def test_mixing_writes_blocks_one_after_the_other(spark):
+    """Each stretch of the result holds the sources in proportion, in the order of ranks within its block."""
+    docs = spark.createDataFrame([(i, f"w{i} " * 6000, "en", "abc"[min(2, i % 5)], 1, 0) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long, spark_part int")
+    order = [(r.mix_block, r.mix_rank, r.doc_id) for r in mixing.mix(docs).select("doc_id", "mix_block", "mix_rank").collect()]
+    assert len({b for b, _, _ in order}) > 2
+    got = [r.doc_id for r in corpus_pipeline.mixture(spark, docs, "").select("doc_id").collect()]
+    assert got == [i for *_, i in sorted(order)]
+
+
 def test_packing_against_brute_force(stages):
     before, after = stages["packing"]
     tokenizer = Tokenizer.from_file(tokenizer_path())
