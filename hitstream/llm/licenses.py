@@ -1,32 +1,34 @@
 """License scans by canonical digest lookup.
 
-A text is brought to a canonical form (case, punctuation, copyright lines, equivalent spellings, white space) and
-hashed whole; known licences are a small table of such digests, and a hash join finds them. What is hashed
-whole is a unit: the document itself, each of its lines and each block of consecutive lines between blank
-lines, so a notice or a licence text inside a document is found as well as a document that is a licence.
+A text is brought to a canonical form line by line (case, copyright notices, list marks, equivalent spellings, then punctuation and white
+space, which go) and known licences are a small table of digests of such forms. What can be a licence is a whole run of lines: the document, or
+some consecutive lines of it, however they are wrapped and whatever stands before and behind them. A run can only be a known text if it begins as one does
+and ends, as many characters later, at the end of a line; such runs are hashed whole, and a hash join finds the licence.
 
-Only DataFrame functions run on the texts. The registry is a constant of this module with a few hundred rows
-at most, which bounds its broadcast.
+Only DataFrame functions run on the texts. The registry is made of this module's notices and of the files in ``licence_texts``, a few hundred rows,
+which bounds its broadcast. Long texts are registered with and without their first paragraph (the title) and what follows their terms.
 
 Defined cases: null and empty texts have no licence; repeated rows each get their rows; a licence that stands in a document
-more than once is one finding with a count; documents without licences give no finding rows; other columns are ignored.
+more than once is one finding with a count, and of known texts of one licence that begin on the same line the longest counts; a line that begins
+with "copyright" and neither a sign, a digit nor a name in brackets behind it is text; a word cut in two by a hyphen at a line's end is whole, but if it
+has an equivalent spelling, that isn't seen; documents without licences give no finding rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spellings that licence matching guidelines treat as equal.
+#: Spellings that licence matching guidelines treat as equal, word by word.
 EQUIVALENT = {
-    "licence": "license", "licenced": "licensed", "licences": "licenses", "acknowledgement": "acknowledgment", "analogue": "analog",
-    "authorisation": "authorization", "authorised": "authorized", "cancelled": "canceled", "centre": "center", "favour": "favor",
-    "merchantable": "merchantable", "noncommercial": "non commercial", "organisation": "organization", "per cent": "percent",
-    "recognise": "recognize", "sub license": "sublicense", "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
-    "copyright holder": "copyright owner", "copyright holders": "copyright owners",
+    "licence": "license", "licenced": "licensed", "licences": "licenses", "sublicence": "sublicense", "acknowledgement": "acknowledgment", "analogue": "analog",
+    "authorisation": "authorization", "authorised": "authorized", "cancelled": "canceled", "centre": "center", "favour": "favor", "holder": "owner", "holders": "owners",
+    "https": "http", "organisation": "organization", "recognise": "recognize", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
 
 #: Short public notices, by SPDX identifier. {v} stands for a version of the list behind it.
@@ -45,106 +47,110 @@ NOTICES = {
 #: Creative Commons notices follow a rule: "Licensed under CC <terms> <version>."
 COMMONS = [(f"CC-{t}-{v}", f"{lead} CC {t} {v}.") for t in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND") for v in ("2.0", "3.0", "4.0") for lead in ("Licensed under", "This work is licensed under")]
 
-#: Whole public licence texts.
-TEXTS = {
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
-
-Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-
-1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
-
-2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-
-3. This notice may not be removed or altered from any source distribution.""",
-}
-
-#: The canonical form as a list of (pattern, replacement), applied in order to the lower-cased text; the same in Python, Java and RE2.
+#: The canonical form of a line as a list of (pattern, replacement), applied in order to the lower-cased line; the same in Python, Java and RE2.
 STEPS = [
-    (r"(?:^|\n)[^a-z0-9\n]*(?:copyright|\(c\)|all rights reserved)[^\n]*", "\n"),  # copyright lines
-    (r"[^a-z0-9]+", " "),  # punctuation and white space
-    (r"^ | $", ""),
-] + [(rf"\b{a}\b", b) for a, b in EQUIVALENT.items() if a != b]
+    (r"^[^a-z0-9]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]|\[|<|\{)|\(c\)[ \t]*[0-9]|©|all rights reserved[^a-z0-9]*$).*$", ""),  # copyright notices
+    (r"^[^a-z0-9(]*\(?(?:[0-9]{1,2}|[a-z])[.)][ \t]+", ""),  # list marks
+    *((rf"\b{a}\b", b) for a, b in EQUIVALENT.items()),
+    (r"[^a-z0-9]+", ""),  # punctuation and white space
+]
+#: Ends of lines.
+BREAK = r"\r\n|\r|\n"
+#: Canonical characters by which a run is recognised as a possible beginning of a known text.
+HEAD = 16
+#: Words of which every known text holds one in its canonical form; nothing that the form removes can stand inside a word.
+MARK = r"(?i)licen[cs]e|permission|permitted|public[^a-z0-9]+domain|recipients"
+
+
+def canonical_line(line: str) -> str:
+    line = line.lower()
+    for pattern, new in STEPS:
+        line = re.sub(pattern, new, line, flags=re.ASCII)
+    return line
 
 
 def canonical_text(text: str) -> str:
-    text = text.lower()
-    for pattern, new in STEPS:
-        text = re.sub(pattern, new, text, flags=re.ASCII)
-    return text
+    return "".join(map(canonical_line, re.split(BREAK, text)))
 
 
-def canonical(text: Column) -> Column:
-    out = F.lower(text)
+def canonical(line: Column) -> Column:
+    out = F.lower(line)
     for pattern, new in STEPS:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(new))
     return out
 
 
-def registry() -> list[tuple[str, str, int]]:
-    """(digest, licence, words) of every known text; units with the same digest share the first licence."""
-    known: dict[str, tuple[str, str, int]] = {}
-    for name, text in [*((k, t) for k, ts in NOTICES.items() for t in ts), *COMMONS, *TEXTS.items()]:
+@cache
+def texts() -> list[tuple[str, str]]:
+    """(licence, text) of all known texts: notices, whole texts, and these without title and without what follows the terms."""
+    known = [*((k, t) for k, ts in NOTICES.items() for t in ts), *COMMONS]
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = path.read_text().strip("\n\f")
+        for whole in (text, re.split(r"(?i)end of terms and conditions", text)[0]):
+            blocks = re.split(r"\n\s*\n", whole, maxsplit=1)
+            known += [(path.stem, whole), *((path.stem, x) for x in blocks[1:])]
+    return known
+
+
+@cache
+def registry() -> list[tuple[str, str, str, int]]:
+    """(digest, licence, head, characters) of every known text; texts with the same digest share the first licence."""
+    known: dict[str, tuple[str, str, str, int]] = {}
+    for name, text in texts():
         form = canonical_text(text)
-        known.setdefault(digest := hashlib.sha256(form.encode()).hexdigest(), (digest, name, form.count(" ") + 1))
+        known.setdefault(digest := hashlib.sha256(form.encode()).hexdigest(), (digest, name, form[:HEAD], len(form)))
     return sorted(known.values())
 
 
 def registry_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(registry(), "digest string, license string, words int")
-
-
-#: Words that any known licence holds; a unit without one of them needs no canonical form.
-MARK = r"(?i)licen[cs]e|permission|public domain"
-
-
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, unit (document, block or line) and body of every unit that could be a known licence.
-
-    The mark test runs on the document before it is split, so texts without licence words go no further than the scan.
-    """
-    body = F.regexp_replace(F.col("text"), F.lit(r"\r\n?"), F.lit("\n"))
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text")).where(F.col("text").rlike(MARK))
-    lines = F.transform(F.split("text", r"\n"), lambda x: F.struct(F.lit("line").alias("unit"), x.alias("body")))
-    blocks = F.transform(
-        F.filter(F.split("text", r"\n\s*\n"), lambda x: F.instr(x, "\n") > 0), lambda x: F.struct(F.lit("block").alias("unit"), x.alias("body"))
-    )
-    whole = F.array(F.struct(F.lit("document").alias("unit"), F.col("text").alias("body")))
-    one = ~F.col("text").contains("\n")
-    every = F.when(one, whole).otherwise(F.concat(whole, blocks, lines))
-    return marked.select("doc_id", F.explode(every).alias("u")).select("doc_id", "u.unit", "u.body").where(F.col("body").rlike(MARK))
+    return spark.createDataFrame(registry(), "digest string, license string, head string, size int")
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, license, unit, occurrences: known licences found as whole units."""
+    """doc_id, license, unit (document, block of lines, line), occurrences: known licences found as whole runs of lines."""
     known = registry_table(docs.sparkSession)
-    digests = units(docs).select("doc_id", "unit", F.sha2(canonical(F.col("body")), 256).alias("digest"))
-    return digests.join(F.broadcast(known), "digest").groupBy("doc_id", "license", "unit").agg(F.count("*").alias("occurrences"))
+    heads = sorted({r[2] for r in registry()})
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(MARK))
+    lines = F.filter(F.transform(F.split("text", BREAK), canonical), lambda x: x != "")
+    # the beginnings of all runs, each from as many lines as it can take; lines are not empty, so HEAD of them are enough
+    head = lambda i: F.substring(F.concat_ws("", F.slice("lines", i, F.lit(HEAD))), 1, HEAD)
+    begins = F.filter(F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.struct(i.alias("at"), head(i).alias("head"))), lambda x: x["head"].isin(heads))
+    sizes = F.create_map(*[x for h in heads for x in (F.lit(h), F.array(*[F.lit(n) for n in sorted({r[3] for r in registry() if r[2] == h})]))])
+    # the row's own number keeps repeated rows apart
+    held = marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", lines.alias("lines")).where(F.size("lines") > 0)
+    starts = held.withColumn("b", F.explode(begins)).select("row", "doc_id", "lines", F.col("b.at").alias("at"), F.col("b.head").alias("head"))
+    rest = F.slice("lines", F.col("at"), F.size("lines"))
+    ends = F.aggregate(rest, F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(0).alias("upto")), lambda s, x: F.struct(
+        (s["n"] + 1).alias("n"), (s["chars"] + F.length(x)).alias("chars"), F.when(s["chars"] + F.length(x) == F.col("size"), s["n"] + 1).otherwise(s["upto"]).alias("upto")))
+    runs = starts.withColumn("size", F.explode(sizes[F.col("head")])).withColumn("n", ends["upto"]).where("n > 0")
+    body = F.concat_ws("", F.slice("lines", F.col("at"), F.col("n")))
+    unit = F.when(F.col("n") == F.size("lines"), "document").when(F.col("n") == 1, "line").otherwise("block")
+    runs = runs.select("row", "doc_id", "at", "n", unit.alias("unit"), F.sha2(body, 256).alias("digest"))
+    found = runs.join(F.broadcast(known.select("digest", "license")), "digest")
+    longest = found.groupBy("row", "doc_id", "license", "at").agg(F.max_by("unit", "n").alias("unit"))
+    return longest.groupBy("row", "doc_id", "license", "unit").agg(F.count("*").alias("occurrences")).drop("row")
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL of ``find`` over ``documents``."""
+    """DuckDB SQL of ``find`` over ``documents``: every run of lines as long as a known text is hashed, wherever it begins."""
 
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    form = "lower(body)"
+    form = "lower(line)"
     for pattern, new in STEPS:
-        form = f"regexp_replace({form}, {quoted(pattern)}, {quoted(new) if new != chr(10) else 'chr(10)'}, 'g')"
-    values = ", ".join(f"({quoted(d)}, {quoted(n)})" for d, n, _ in registry())
-    return rf"""WITH known(digest, license) AS (VALUES {values}),
-texts AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM documents WHERE text IS NOT NULL),
-units AS (
-  SELECT doc_id, 'document' AS unit, text AS body FROM texts
-  UNION ALL SELECT doc_id, 'line', unnest(string_split(text, chr(10))) FROM texts WHERE contains(text, chr(10))
-  UNION ALL SELECT doc_id, 'block', unnest(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: contains(x, chr(10)))) FROM texts)
-SELECT doc_id, license, unit, count(*) AS occurrences
-FROM (SELECT doc_id, unit, sha256({form}) AS digest FROM units WHERE regexp_matches(body, {quoted(MARK)})) JOIN known USING (digest)
-GROUP BY ALL"""
+        form = f"regexp_replace({form}, {quoted(pattern)}, {quoted(new)}, 'g')"
+    values = ", ".join(f"({quoted(d)}, {quoted(n)}, {size})" for d, n, _, size in registry())
+    return rf"""WITH known(digest, license, size) AS (VALUES {values}),
+split_ AS (SELECT doc_id, row_number() OVER () AS row_, unnest(regexp_split_to_array(text, '{BREAK}')) AS line, generate_subscripts(regexp_split_to_array(text, '{BREAK}'), 1) AS i
+           FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, row_, row_number() OVER (PARTITION BY row_ ORDER BY i) AS i, form FROM (SELECT doc_id, row_, i, {form} AS form FROM split_) WHERE form <> ''),
+placed AS (SELECT *, sum(length(form)) OVER (PARTITION BY row_ ORDER BY i)::BIGINT AS upto, count(*) OVER (PARTITION BY row_) AS n FROM lines),
+whole AS (SELECT row_, string_agg(form, '' ORDER BY i) AS body FROM lines GROUP BY row_),
+ends AS (
+  SELECT a.doc_id, a.row_, a.i, b.i - a.i + 1 AS many, a.n, a.upto - length(a.form) AS skip, size
+  FROM placed a, (SELECT DISTINCT size FROM known) s JOIN placed b ON b.row_ = a.row_ AND b.upto = a.upto - length(a.form) + size),
+found AS (
+  SELECT doc_id, row_, i, license, max_by(CASE WHEN many = n THEN 'document' WHEN many = 1 THEN 'line' ELSE 'block' END, many) AS unit
+  FROM ends JOIN whole USING (row_) JOIN known ON digest = sha256(substr(body, (skip + 1)::INT, ends.size)) GROUP BY ALL)
+SELECT doc_id, license, unit, count(*) AS occurrences FROM found GROUP BY row_, doc_id, license, unit"""
