@@ -82,6 +82,18 @@ def whole_texts(df: DataFrame) -> DataFrame:
     return df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def columns_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     """Null-free primitive columns as numpy arrays; binary and list columns as Arrow arrays."""
     out = {}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitstream.llm.common import whole_texts
+from hitstream.llm.common import unused, whole_texts
 
 #: Labelled texts that a model is fitted on, in all; a documented bound.
 SAMPLE = 4000
@@ -206,7 +206,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, columns: int = COLUMNS) -> Mo
     return Model.fit(x, langs)
 
 
-def _predictions(model: Model, columns: int, text: str, drop: bool):
+def _predictions(model: Model, columns: int, text: str, drop: bool, out: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, step = batch.num_rows, 256
@@ -219,7 +219,7 @@ def _predictions(model: Model, columns: int, text: str, drop: bool):
                     for (k, _), name, s in zip(part, found, sure):
                         names[k], scores[k] = name, s
             rest = [c for c in batch.schema.names if not (drop and c == text)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(names, pa.string()), pa.array(scores)], [*rest, *("lang_pred score" if drop else "__lang_pred __score").split()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(names, pa.string()), pa.array(scores)], [*rest, *out])
 
     return run
 
@@ -227,9 +227,10 @@ def _predictions(model: Model, columns: int, text: str, drop: bool):
 def predict(docs: DataFrame, model: Model, columns: int = COLUMNS, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default doc_id) with lang_pred and score; texts are read where they lie, nothing shuffles."""
     keep = keep or ["doc_id"]
-    thin = whole_texts(docs).select(*keep, F.col("text").cast("string").alias("__text"))
+    (text,) = unused(docs, "text_")
+    thin = whole_texts(docs).select(*keep, F.col("text").cast("string").alias(text))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
-    return thin.mapInArrow(_predictions(model, columns, "__text", True), schema)
+    return thin.mapInArrow(_predictions(model, columns, text, True, ["lang_pred", "score"]), schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -240,6 +241,7 @@ def held_out(doc_id: str = "doc_id"):
 def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
     """Rows of ``docs`` whose language is recognised: not ``und`` and scored ``least`` or more."""
     names = whole_texts(docs).columns
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "__lang_pred string", "__score double"])
-    out = docs.mapInArrow(_predictions(model, COLUMNS, "text", False), schema)  # by position: the text goes through Python once
-    return out.where((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).select(*names)
+    lang, score = unused(docs, "lang_pred", "score")
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), f"`{lang}` string", f"`{score}` double"])
+    out = docs.mapInArrow(_predictions(model, COLUMNS, "text", False, [lang, score]), schema)  # the text goes through Python once
+    return out.where((F.col(lang) != "und") & (F.col(score) >= least)).select(*[f"`{c}`" for c in names])

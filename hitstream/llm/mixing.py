@@ -6,17 +6,17 @@ sources), or, without a target, the smallest; it is raised until no source is re
 times. Weights become budgets, and each source's budget is met by passes over a fresh permutation of its
 documents, all of them dealt into blocks that each hold the sources in proportion.
 
-Without a budget in tokens the smallest one is taken at which every source is seen whole at least once, so that
+The repetition limit holds for a budget of the caller's too; one beyond ``max_epochs`` times all tokens is an error. Without a budget in tokens the smallest one is taken at which every source is seen whole at least once, so that
 mixing repeats small sources and leaves no document out.
 
-Tokens are words between ASCII white space, at least 1 a document, or a column of the caller's. Only a table with one row a
+Tokens are words between ASCII white space, at least 1 a document, or a column of the caller's (``tokens``, such as counts by a tokenizer). Only a table with one row a
 source reaches the solver, and it is aggregated there, not collected. A source of any size is cut into hash ranges of
 about ``RANGE`` documents; running totals within a range and over the ranges' totals give each document
 its place, so no task orders a whole source.
 
 Defined cases: a null source is a source of its own; null and empty texts have one token, so that every row has a place;
-rows that agree in id, source and text are repeats and travel together; a document belongs to a pass if it begins within the budget; an empty table gives an empty mixture;
-other columns are carried along.
+rows that agree in id, source and text (null differs from empty) are repeats and travel together; a document belongs to a pass if it begins
+within the budget; an empty table gives an empty mixture; other columns are carried along, but those named like a column of the result give way to it.
 """
 
 from __future__ import annotations
@@ -51,11 +51,11 @@ def source_totals(docs: DataFrame, source: str = "source", tokens: str = "tokens
     return docs.groupBy(F.col(source).alias("source")).agg(F.sum(tokens).cast("long").alias("n"), F.count("*").alias("docs"))
 
 
-def _grid_fits(totals: DataFrame, grid: list[int], target: float | None, max_epochs: float) -> tuple[list[bool], list[bool]]:
+def _grid_fits(totals: DataFrame, grid: list[int], target: float | None, max_epochs: float, budget: int | None = None) -> tuple[list[bool], list[bool]]:
     """For each exponent of the grid: is the entropy at least the target, are repetitions within the limit.
 
     With Z the sum of n**a, entropy is log Z - a * sum(n**a log n) / Z; with a budget that sees each source at
-    least once, a source is repeated (N / n)**(1 - a) times, N the largest source's tokens.
+    least once, a source is repeated (N / n)**(1 - a) times, N the largest source's tokens; with a budget B it is B * n**(a - 1) / Z times.
     """
     n, logn = F.col("n").cast("double"), F.log(F.col("n").cast("double"))
     parts = [x for i, g in enumerate(grid) for x in (F.sum(F.pow(n, F.lit(g / 2**STEPS))).alias(f"z{i}"), F.sum(F.pow(n, F.lit(g / 2**STEPS)) * logn).alias(f"l{i}"))]
@@ -64,11 +64,12 @@ def _grid_fits(totals: DataFrame, grid: list[int], target: float | None, max_epo
     for i, g in enumerate(grid):
         a, z, spread = g / 2**STEPS, r[f"z{i}"], r[f"l{i}"]
         entropy.append(target is None or math.log(z) - a * spread / z >= target * math.log(max(r.k, 1)) - 1e-12)
-        epochs.append((r.top / r.low) ** (1 - a) <= max_epochs + 1e-9)
+        times = (r.top / r.low) ** (1 - a) if budget is None else budget * r.low ** (a - 1) / z
+        epochs.append(times <= max_epochs + 1e-9)
     return entropy, epochs
 
 
-def solve_exponent(totals: DataFrame, target_entropy: float | None = None, max_epochs: float = MAX_EPOCHS) -> float:
+def solve_exponent(totals: DataFrame, target_entropy: float | None = None, max_epochs: float = MAX_EPOCHS, budget: int | None = None) -> float:
     """The exponent, by bisection in groups: each pass over the totals tests 2**GROUP - 1 points at once.
 
     Entropy falls and repetition falls as the exponent grows. Target: the largest exponent with enough entropy
@@ -90,7 +91,9 @@ def solve_exponent(totals: DataFrame, target_entropy: float | None = None, max_e
     best = 0
     if target_entropy is not None:
         best = search(lambda g: _grid_fits(totals, g, target_entropy, max_epochs)[0], True)
-    least = search(lambda g: _grid_fits(totals, g, target_entropy, max_epochs)[1], False)
+    if budget is not None and not _grid_fits(totals, [1 << STEPS], None, max_epochs, budget)[1][0]:
+        raise ValueError(f"a budget of {budget} tokens repeats every source more than {max_epochs} times")
+    least = search(lambda g: _grid_fits(totals, g, target_entropy, max_epochs, budget)[1], False)
     return max(best, least) / 2**STEPS
 
 
@@ -106,8 +109,9 @@ def weigh(totals: DataFrame, exponent: float, budget: int | None = None) -> Data
 
 
 def row_key() -> Column:
-    """Digest of id, source and text; rows that agree in all three are repeats and share it."""
-    return F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "text")]).cast("binary"))
+    """Digest of id, source and text, each behind its length (null: a mark); rows that agree in all three are repeats and share it."""
+    parts = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "source", "text")]
+    return F.md5(F.concat(*parts).cast("binary"))
 
 
 def _number(digest: Column) -> Column:
@@ -115,7 +119,7 @@ def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def mix(
+def mixed_rows(
     docs: DataFrame,
     target_entropy: float | None = None,
     max_epochs: float = MAX_EPOCHS,
@@ -124,15 +128,24 @@ def mix(
     seed: int = SEED,
     block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
-    """``docs`` in mixture: its columns with mix_epoch, mix_block and mix_rank (the order within a block).
+    """``docs`` in mixture: each row whole (a struct ``row``) with mix_epoch, mix_block and mix_rank (the order within a block).
 
     A row appears once for each pass that takes it. Only digests and token counts are ordered; the texts meet
     their passes at the end in one join on the row's key.
     """
-    names = docs.columns
-    keyed = docs.withColumn("__key", row_key())
+    keyed = docs.select(row_key().alias("__key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     plan = schedule(docs, target_entropy, max_epochs, budget, tokens, seed, block_tokens)
-    return keyed.join(plan.select("__key", "mix_epoch", "mix_block", "mix_rank"), "__key").select(*names, "mix_epoch", "mix_block", "mix_rank")
+    return keyed.join(plan.select("__key", *PLACE), "__key").select("row", *PLACE)
+
+
+#: What a mixture adds to a row.
+PLACE = ("mix_epoch", "mix_block", "mix_rank")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """Columns of ``docs`` with mix_epoch, mix_block and mix_rank; options as of ``mixed_rows``."""
+    names = [c for c in docs.columns if c.lower() not in PLACE]
+    return mixed_rows(docs, **options).select(*[F.col("row").getField(c).alias(c) for c in names], *PLACE)
 
 
 def schedule(
@@ -154,7 +167,7 @@ def schedule(
     totals = stored(source_totals(rows), "totals", thin=True)
     if not totals.take(1):
         return rows.select("*", *[F.lit(0).cast("long").alias(c) for c in ("mix_epoch", "mix_block", "mix_rank")])
-    weights = stored(weigh(totals, solve_exponent(totals, target_entropy, max_epochs), budget), "weights", thin=True)
+    weights = stored(weigh(totals, solve_exponent(totals, target_entropy, max_epochs, budget), budget), "weights", thin=True)
     blocks = max(1, math.ceil(weights.agg(F.sum("budget").alias("b")).first().b / block_tokens))
     per = weights.select(
         F.col("source").alias("s"), "n", F.col("budget").alias("part"), F.greatest(F.lit(1), F.ceil(F.col("docs") / RANGE)).cast("long").alias("ranges")
@@ -178,20 +191,24 @@ def schedule(
     return kept.select("__key", "doc_id", "source", "copies", "tokens", "mix_epoch", block.alias("mix_block"), rank.alias("mix_rank"))
 
 
-def oracle_sql(max_epochs: float = MAX_EPOCHS, seed: int = SEED, block_tokens: int = BLOCK_TOKENS) -> str:
-    """DuckDB SQL of the schedule of ``documents`` with a repetition limit; the exponent from two grids of 2**10 points."""
+def oracle_sql(target_entropy: float, max_epochs: float = MAX_EPOCHS, seed: int = SEED, block_tokens: int = BLOCK_TOKENS) -> str:
+    """DuckDB SQL of the schedule of ``documents`` with a target entropy and a repetition limit; the exponent from a grid of all its values."""
     unit = 1 << STEPS
     return rf"""WITH rows_ AS (
   SELECT key, doc_id, source, count(*) AS copies, sum(t)::BIGINT AS tokens FROM (
-    SELECT md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), coalesce(text, ''))) AS key, doc_id, source,
+    SELECT md5(concat(coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source)::VARCHAR || ':' || source, '-'),
+           coalesce(strlen(text)::VARCHAR || ':' || text, '-'))) AS key, doc_id, source,
            greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+'))) AS t FROM documents) GROUP BY ALL),
 totals AS (SELECT source, sum(tokens)::BIGINT AS n FROM rows_ GROUP BY source),
 spread AS (SELECT max(n)::DOUBLE / min(n) AS r FROM totals),
+grid AS (SELECT hi.i * 1024 + lo.i AS g FROM range(0, 1024) AS hi(i), range(0, 1024) AS lo(i) UNION ALL SELECT {unit}),
+entropies AS (
+  SELECT g, ln(sum(pow(n::DOUBLE, g / {unit}.0::DOUBLE))) - g / {unit}.0::DOUBLE * sum(pow(n::DOUBLE, g / {unit}.0::DOUBLE) * ln(n::DOUBLE)) / sum(pow(n::DOUBLE, g / {unit}.0::DOUBLE)) AS h,
+         ln(count(*)) AS most FROM grid, totals GROUP BY g),
 solved AS (
-  SELECT min(g) / {unit}.0::DOUBLE AS a FROM (
-    SELECT hi.i * 1024 + lo.i AS g FROM range(0, 1024) AS hi(i), range(0, 1024) AS lo(i) UNION ALL SELECT {unit}), spread
-  WHERE pow(r, 1 - g / {unit}.0::DOUBLE) <= {max_epochs}::DOUBLE + 1e-9),
+  SELECT greatest((SELECT coalesce(max(g), 0) FROM entropies WHERE h >= {target_entropy}::DOUBLE * most - 1e-12),
+                  (SELECT min(g) FROM grid, spread WHERE pow(r, 1 - g / {unit}.0::DOUBLE) <= {max_epochs}::DOUBLE + 1e-9)) / {unit}.0::DOUBLE AS a),
 powers AS (SELECT source, n, pow(n::DOUBLE, a) AS w FROM totals, solved),
 sums AS (SELECT sum(w) AS z, max(n / w) AS most FROM powers),
 budgets AS (SELECT source AS s, n, greatest(n, round(w * (most * z / z))::BIGINT) AS part FROM powers, sums),

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitstream.llm.common import sliced, stored, whole_texts
+from hitstream.llm.common import sliced, stored, unused, whole_texts
 
 #: Share of an entity's information content that a term may give away.
 DISCLOSES = 0.9
@@ -361,9 +361,10 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     Only rows with findings meet their spans in a join; a row's spans depend on its id and text alone, so repeated rows share them.
     """
     names = docs.columns
-    spans = findings(docs, **options).select("doc_id", "text_key", F.concat("spans", "terms").alias("__spans")).where(F.size("__spans") > 0)
-    spans = stored(spans.dropDuplicates(["doc_id", "text_key"]), "spans", thin=True).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "__spans")
-    keyed = whole_texts(docs).withColumn("__key", text_key())
-    joined = keyed.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
-    joined = joined.select(*names, "__spans")
+    doc, text, key, every = unused(docs, "span_doc", "span_text", "row_text", "every_span")
+    spans = findings(docs, **options).select("doc_id", "text_key", F.concat("spans", "terms").alias(every)).where(F.size(every) > 0)
+    spans = stored(spans.dropDuplicates(["doc_id", "text_key"]), "spans", thin=True).select(F.col("doc_id").alias(doc), F.col("text_key").alias(text), every)
+    keyed = whole_texts(docs).withColumn(key, text_key())
+    joined = keyed.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(text)), "left")
+    joined = joined.select(*[f"`{c}`" for c in names], every)
     return joined.mapInArrow(_sanitise(names.index("text"), len(names)), docs.schema)

@@ -5,14 +5,14 @@ import duckdb
 import pytest
 
 from hitstream.llm import mixing
-from hitstream.llm.queries import op1_mixing, table
+from hitstream.llm.queries import MIX_ENTROPY, op1_mixing
 
 
 def test_query_against_duckdb(spark, small):
     got = sorted(map(tuple, op1_mixing(spark, small).select("doc_id", "source", "copies", "tokens", "mix_epoch", "mix_block", "mix_rank").collect()))
     db = duckdb.connect()
     db.execute(f"create view documents as select * from read_parquet('{small}/documents.parquet')")
-    assert got == sorted(db.execute(mixing.oracle_sql()).fetchall())
+    assert got == sorted(db.execute(mixing.oracle_sql(MIX_ENTROPY)).fetchall())
 
 
 def totals(spark, sizes):
@@ -44,7 +44,8 @@ def test_budgets_are_met_and_nothing_is_left_out(spark, budget):
         "doc_id long, text string, lang string, source string, n_chars long",
     )
     rows = mixing.schedule(docs, budget=budget, block_tokens=500).collect()
-    weights = {r.source: r for r in mixing.weigh(mixing.source_totals(docs.withColumn("tokens", mixing.words())), mixing.solve_exponent(mixing.source_totals(docs.withColumn("tokens", mixing.words()))), budget).collect()}
+    sizes = mixing.source_totals(docs.withColumn("tokens", mixing.words()))
+    weights = {r.source: r for r in mixing.weigh(sizes, mixing.solve_exponent(sizes, budget=budget), budget).collect()}
     given, seen = defaultdict(int), defaultdict(set)
     for r in rows:
         given[r.source] += r.tokens
@@ -68,3 +69,29 @@ def test_odd_rows_and_empty(spark, odd, empty):
     assert {r.doc_id for r in rows} == {r.doc_id for r in odd.collect()} and sum(r.doc_id == 2 for r in rows) % 2 == 0
     out = mixing.mix(empty)
     assert out.columns[: len(empty.columns)] == empty.columns and out.count() == 0
+
+
+def test_the_limit_holds_for_a_given_budget(spark):
+    sizes = totals(spark, [1000, 100, 10])
+    a = mixing.solve_exponent(sizes, None, 3.0, budget=2000)
+    repeated = {r.source: r.budget / r.n for r in mixing.weigh(sizes, a, 2000).collect()}
+    assert max(repeated.values()) <= 3.05 and repeated["s2"] == max(repeated.values())
+    with pytest.raises(ValueError):
+        mixing.solve_exponent(sizes, None, 3.0, budget=4000)
+
+
+def test_rows_that_only_look_alike_stay_apart(spark):
+    rows = [(1, None, "x"), (1, "", "x"), (2, "a", "b:c"), (2, "a:b", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = [(r.doc_id, r.source, r.text) for r in mixing.mix(docs, max_epochs=1.0).collect()]
+    assert sorted(got, key=str) == sorted(rows, key=str)
+
+
+def test_clashing_columns(spark):
+    names = ["mix_epoch", "mix_block", "mix_rank", "__key", "tokens", "t", "copies", "row", "n", "part", "ranges", "draw", "range", "start", "ahead", "base"]
+    docs = spark.createDataFrame([(i, f"w {i}", "ab"[i % 2], *[f"own {i}"] * len(names)) for i in range(6)], ["doc_id", "text", "source", *names])
+    out = mixing.mix(docs, max_epochs=1.0)
+    assert out.columns == ["doc_id", "text", "source", *names[3:], "mix_epoch", "mix_block", "mix_rank"]
+    assert sorted((r.doc_id, r["__key"], r.row, r.mix_epoch) for r in out.collect()) == [(i, f"own {i}", f"own {i}", 0) for i in range(6)]
+    kept = mixing.mixed_rows(docs, max_epochs=1.0).select("row.*")
+    assert sorted(kept.collect()) == sorted(docs.collect())
