@@ -33,9 +33,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs)
+    mixed = mixing.mixed_rows(docs)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(n, "mix_block", "mix_rank").sortWithinPartitions("mix_block", "mix_rank").select(*docs.columns)
+    return mixed.repartitionByRange(n, "mix_block", "mix_rank").sortWithinPartitions("mix_block", "mix_rank").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
