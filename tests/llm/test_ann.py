@@ -65,13 +65,40 @@ def test_odd_rows(spark):
     assert ann.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_windows_find_without_verifying_all():
-    """Near copies are verified from narrow windows; the rest of the block is not."""
+def test_counters_count():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 7, 8, 50):
+        sets = rng.integers(0, 2**64, (n, 3, 2), dtype=np.uint64)
+        bits = np.unpackbits(sets.view(np.uint8), axis=2, bitorder="little").sum(axis=0)
+        for count in (0, 1, 2, n // 2, n, n + 1, 200):
+            got = np.unpackbits(ann.at_least(iter(sets), count).view(np.uint8), axis=1, bitorder="little")
+            assert np.array_equal(got, bits >= count)
+
+
+def test_few_vectors_are_verified(spark):
+    """With the stop rule as it is; these vectors have no structure, their 20th neighbours are 0.84 times as far as their median ones."""
+    df = table(spark, "/root/testdata/sf0.1", "embeddings")
+    n = df.count()
+    rows = ann.nearest(df, F.col("vec_id") % 20 == 0, verified=True).where("rank = 1").collect()
+    share = np.mean([r.verified for r in rows]) / n
+    assert len(rows) == -(-n // 20) and share < 0.05
+
+
+def test_near_copies_and_a_mass_of_equal_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 33))
-    x[100:140] = x[7] + 0.01 * rng.normal(size=(40, 33))
+    x[100:140] = x[20] + 0.01 * rng.normal(size=(40, 33))
+    x[1000:2500] = x[40]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    seen = []
-    ann.Index(x).search(x[7], lambda f: seen.append(f), lambda r: sum(len(f) for f in seen), 20)
-    seen = np.concatenate(seen)
-    assert set(range(100, 140)) <= set(seen.tolist()) and len(seen) < 400
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0, 0) for i, r in enumerate(x.astype(np.float32))], SCHEMA)
+    got, want = by_query(ann.nearest(df, F.col("vec_id") % 20 == 0).collect()), brute(df.collect())
+    assert recall(got, want) >= 0.95
+    assert [v for v, _ in got[40]] == list(range(1000, 1020))  # ties go to the smaller id
+
+
+def test_clashing_columns_and_ids_with_several_vectors(spark):
+    names = ["v", "asks", "block", "part", "rank", "score", "query_id", "verified"]
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.5]), (2, [0.5, 1.0])]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "vec_id long, embedding array<float>, " + ", ".join(f"{n} int" for n in names))
+    got = by_query(ann.nearest(df, F.col("vec_id") % 20 == 0).collect())
+    assert dict(got) == {0: [(2, 1.0), (1, 0.5)]}
