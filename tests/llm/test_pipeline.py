@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -6,11 +7,10 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from hitstream.llm import langid, mixing, packing, pii
+from hitstream.llm import langid, mixing, packing, pii, simhash
 from hitstream.llm.common import stored
 from hitstream.llm.queries import table, tokenizer_path
 from tests.llm.test_pii import slow_spans
-from tests.llm.test_simhash import brute as near_brute
 
 
 def as_rows(df):
@@ -47,10 +47,59 @@ def test_language_against_single_predictions(spark, stages):
 
 
 def test_simhash_against_brute_force(stages):
+    """Jaccard similarity of five-word shingles of all pairs: one document of each group, up to the width of the estimate."""
     before, after = stages["simhash"]
-    docs = before.collect()
-    keep = {i for i, _, least in near_brute([(r.doc_id, r.text) for r in docs]) if i == least}
-    assert sorted(as_rows(after)) == sorted(tuple(r) for r in docs if r.doc_id in keep)
+    docs = sorted(before.collect(), key=lambda r: r.doc_id)
+    kept = {r.doc_id for r in after.collect()}
+    assert sorted(as_rows(after)) == sorted(tuple(r) for r in docs if r.doc_id in kept)
+    sets = {r.doc_id: shingles(r.text) for r in docs}
+    surely, maybe = grouped(sets, 0.85), grouped(sets, 0.7)
+    assert len(set(maybe.values())) <= len(kept) <= len(set(surely.values())) < len(docs)
+    for group in set(maybe.values()):  # a text that is alone stays
+        assert any(maybe[i] == group for i in kept)
+    for a in kept:
+        assert not any(a != b and surely[a] == surely[b] for b in kept)
+
+
+def shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def grouped(sets, least):
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            both, any_ = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if (both / any_ if any_ else 1) >= least and top(a) != top(b):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    return {i: top(i) for i in ids}
+
+
+def test_simhash_recall_at_given_similarities(spark):
+    """Pairs of texts of 400 words with words substituted at random places until their shingles are that similar."""
+    rng, rows, cases = np.random.default_rng(12), [], {0.8: [], 0.83: [], 0.9: [], 0.95: [], 0.7: []}
+    for least, made in cases.items():
+        for _ in range(60):
+            a = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+            b, was = list(a), list(a)
+            while len(shingles(" ".join(a)) & shingles(" ".join(b))) / len(shingles(" ".join(a)) | shingles(" ".join(b))) >= least:
+                was = list(b)
+                b[rng.integers(0, 400)] = f"v{rng.integers(0, 10**6)}"
+            made.append(len(rows))
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(was))]
+    kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(i in kept for made in cases.values() for i in made)
+    caught = {least: np.mean([i + 1 not in kept for i in made]) for least, made in cases.items()}
+    print(caught)
+    assert caught[0.8] >= 0.75 and caught[0.83] >= 0.95 and caught[0.9] == caught[0.95] == 1 and caught[0.7] <= 0.05
 
 
 def test_pii_against_brute_force(stages):
@@ -124,3 +173,16 @@ def test_odd_rows_and_empty(spark, odd, empty, small):
                 assert docs.count() >= least
     one = corpus_pipeline.STAGES[1][1](spark, odd, small).collect()
     assert sorted(r.doc_id for r in one if r.doc_id in (1, 2)) == [1] and len([r for r in one if r.doc_id in (3, 4, 5)]) == 1
+
+
+def test_clashing_columns(spark, small):
+    """Columns named like anything that stages add to a row on its way."""
+    names = "lang_pred score __score __lang_pred __text text_ spans every_span span_doc span_text row_text row kept_doc kept_key row_key first root fp sketch id mix_epoch mix_block mix_rank __key doc tokens n".split()
+    text = "this is a short text of some words that anyone can read without any trouble at all"
+    rows = [(i, f"{text} number {i} mail a{i}@example.org" if i % 3 else text, "en", "ab"[i % 2], 10, *[f"own {i}"] * len(names)) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stored(f(spark, docs, small), name)
+        assert docs.columns == before.columns
+        assert docs.count() and all(r[n] == f"own {r.doc_id}" for r in docs.collect() for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count()
