@@ -7,6 +7,7 @@ travel times decide causality, and their time differences against those of earli
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -74,38 +75,47 @@ def adjacency(du, t, distances: dict[tuple[int, int], float], tolerance: float)
     return bits
 
 
-def maximum_causal_subset(du, t, distances: dict[tuple[int, int], float], tolerance: float = 0.0) -> list[int]:
-    """Indices of a largest set of mutually compatible hits.
+def _members(nodes: int) -> Iterator[int]:
+    """Members of a bit set, lowest first."""
+    while nodes:
+        yield (nodes & -nodes).bit_length() - 1
+        nodes &= nodes - 1
 
-    Pivoted clique search over hits by (degree descending, time, id). Branches that cannot beat the best are cut, so of several
-    largest sets the first one reached stays; the order of exploration is therefore part of the result.
-    """
-    near = adjacency(du, t, distances, tolerance)
-    first = sorted(range(len(du)), key=lambda i: (-near[i].bit_count(), int(t[i]), int(du[i]), i))
-    best: list[int] = []
 
-    def explore(chosen: list[int], open_: list[int], closed: list[int]) -> None:
-        nonlocal best
-        if len(chosen) + len(open_) <= len(best):
-            return
+def first_largest_clique(near: list[int]) -> int:
+    """Of the largest cliques the one that the search order reaches first, as a bit set.
+
+    The rule: from a set of open nodes, those not near the pivot are tried, lowest first; the pivot is the first node, of the open ones and then of those
+    already tried, that is near most open ones. A clique counts if no tried node could join it. Subproblems wait on a stack and are
+    dropped when they can no longer beat the best clique, so nothing recurses and a window of any size is searched.
+    """
+    best = 0
+    waiting = [(0, (1 << len(near)) - 1, ())]
+    while waiting:
+        clique, open_, tried = waiting.pop()
+        if clique.bit_count() + open_.bit_count() <= best.bit_count():
+            continue
         if not open_:
-            if not closed:
-                best = sorted(chosen)
-            return
-        mask = sum(1 << i for i in open_)
-        pivot = max([*open_, *closed], key=lambda i: (near[i] & mask).bit_count())  # the first of equals
-        branches = [i for i in open_ if not near[pivot] >> i & 1]
-        for i in branches or list(open_):
-            explore([*chosen, i], [x for x in open_ if near[i] >> x & 1], [x for x in closed if near[i] >> x & 1])
-            open_ = [x for x in open_ if x != i]
-            closed = [*closed, i]
-            if len(chosen) + len(open_) <= len(best):
-                return
-
-    explore([], first, [])
+            best = best if tried else clique
+            continue
+        pivot = max((*_members(open_), *tried), key=lambda v: (near[v] & open_).bit_count())
+        later = []
+        for v in _members(open_ & ~near[pivot]):
+            later.append((clique | 1 << v, open_ & near[v], tuple(x for x in tried if near[x] >> v & 1)))
+            open_, tried = open_ & ~(1 << v), (*tried, v)
+        waiting += reversed(later)
     return best
 
 
+def maximum_causal_subset(du, t, distances: dict[tuple[int, int], float], tolerance: float = 0.0) -> list[int]:
+    """Indices of a largest set of mutually compatible hits; hits are searched by (compatible ones descending, time, id)."""
+    near = adjacency(du, t, distances, tolerance)
+    order = sorted(range(len(du)), key=lambda i: (-near[i].bit_count(), int(t[i]), int(du[i]), i))
+    place = {i: k for k, i in enumerate(order)}
+    ranked = [sum(1 << place[j] for j in _members(near[i])) for i in order]
+    return sorted(order[k] for k in _members(first_largest_clique(ranked)))
+
+
 class TriggerFilter:
     """The filter chain with its duplicate history: duplicates enter the history, other events replace the previous one."""
 

@@ -18,28 +18,35 @@ def write(path, body):
     return str(path)
 
 
-def test_thresholds_load(tmp_path):
-    got = tables.thresholds(write(tmp_path / "t", "# c\n" + HEADER + "\n1, 10 5, 11,6\n2 7 7 8 8\n"))
-    assert got == {1: {"x": (10.0, 5.0), "y": (11.0, 6.0)}, 2: {"x": (7.0, 7.0), "y": (8.0, 8.0)}} and 3 not in got
+def threshold_rows(spark, path):
+    return sorted(map(tuple, tables.thresholds(spark, path).collect()))
+
+
+def test_thresholds_with_all_that_a_file_may_hold(spark, tmp_path):
+    body = "# made by hand\r\n\r\n  FEB_ID,th1_x th2_x\tth1_y , th2_y\r\n7,12.5,3 , 9 9\n#8 1 2 3 4\n\n8 1e2 50\t+4 -4"
+    assert threshold_rows(spark, write(tmp_path / "t", body)) == [(7, "x", 12.5, 3.0), (7, "y", 9.0, 9.0), (8, "x", 100.0, 50.0), (8, "y", 4.0, -4.0)]
+
+
+GOOD = "5 9 8 7 6"
 
 
 @pytest.mark.parametrize(
     "body,why",
     [
-        ("", "no header"), ("1 2 3 4 5\n", "header"), ("feb_id th1 th2 th1_y th2_y\n", "header"), (HEADER, "no data"), (HEADER + "1 2 3 4\n", "5 fields"),
-        (HEADER + "1 2 x 4 5\n", "numeric"), (HEADER + "1.5 9 8 9 8\n", "integer"), (HEADER + "1 4 5 9 8\n", "channel x"), (HEADER + "1 9 8 4 5\n", "channel y"), (HEADER + "1 9 8 9 8\n1 9 8 9 8\n", "duplicate"),
+        ("", "no header"), ("# only\n\n", "no header"), (HEADER, "no data"), (GOOD, "line 1: the header"), (HEADER.replace("th2_y", "th3_y") + GOOD, "line 1: the header"),
+        (HEADER + GOOD + " 5", "line 2: 5 fields"), (HEADER + "5 9 8", "line 2: 5 fields"), (HEADER + "5 9 eight 7 6", "line 2: not numeric"), (HEADER + "5.25 9 8 7 6", "line 2: feb_id"),
+        (HEADER + "5 8 9 7 6", "line 2: th1 below th2 in channel x"), (HEADER + "5 9 8 6 7", "line 2: th1 below th2 in channel y"), (HEADER + GOOD + "\n6 9 8 7 6\n5.0 1 1 1 1", "line 4: duplicate"),
+        (HEADER + "5 9 8\n" + GOOD + "\n6 1 2 3 4\nx 1 1 1 1", "line 2: 5 fields.*line 4: th1.*line 5: not numeric"),
     ],
 )
-def test_threshold_errors_name_file_and_cause(tmp_path, body, why):
+def test_bad_lines_of_thresholds_are_all_named(spark, tmp_path, body, why):
     with pytest.raises(ValueError, match=why):
-        tables.thresholds(write(tmp_path / "t", body))
+        tables.thresholds(spark, write(tmp_path / "t", body))
 
 
-def test_thresholds_missing_file_and_table(spark, tmp_path):
+def test_no_threshold_file(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
-        tables.thresholds(tmp_path / "none")
-    df = tables.threshold_table(spark, write(tmp_path / "t", HEADER + "1 9 8 7 6\n"))
-    assert sorted(map(tuple, df.collect())) == [(1, "x", 9.0, 8.0), (1, "y", 7.0, 6.0)]
+        tables.thresholds(spark, tmp_path / "none")
 
 
 def test_du_maps(tmp_path):
