@@ -216,18 +216,22 @@ def _distinct_lines(texts: Iterator) -> Iterator[tuple[int, set[str]]]:
                 yield key - (1 << 63), set(map(str.lower, WORD.findall(line)))
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, different lines) per batch: no batch's count is above that of the corpus. The empty term counts all lines."""
+def _term_counts(sketch: bytes):
+    """(term, different lines) per batch of words that pass the sketch: no batch's count is above that of the corpus. The empty term counts all lines."""
     from collections import Counter
 
-    for batch in batches:
-        n: Counter = Counter()
-        lines = 0
-        for _, terms in _distinct_lines(batch.column(0)):
-            lines += 1
-            n.update(terms)
-        n[""] = lines  # no word is empty: the number of lines
-        yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["term", "lines"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = _Passing(sketch)
+        for batch in batches:
+            n: Counter = Counter()
+            lines = 0
+            for _, terms in _distinct_lines(batch.column(0)):
+                lines += 1
+                n.update(t for t in terms if passes[t])
+            n[""] = lines  # no word is empty: the number of lines
+            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["term", "lines"])
+
+    return run
 
 
 def _term_lines(sketch: bytes):
@@ -256,7 +260,9 @@ def disclosing(docs: DataFrame, found: DataFrame, discloses: float = DISCLOSES,
     own = stored(met.select("entity", "line").distinct().groupBy("entity").agg(F.count("*").alias("of_entity")).where(F.col("of_entity") >= support), "entities", thin=True)
     nothing = docs.sparkSession.createDataFrame([("",)], "term string")
     texts = whole_texts(docs).select(F.col("text").cast("string").alias("text")).where("text is not null")
-    counts = texts.mapInArrow(_term_counts, "term string, lines long").join(pairs.select("term").distinct().unionByName(nothing), "term", "left_semi")
+    terms = pairs.select("term").distinct()
+    # a sketch of the candidates keeps other words out of the shuffle, and the join those that pass it by chance
+    counts = texts.mapInArrow(_term_counts(_sketch(terms)), "term string, lines long").join(terms.unionByName(nothing), "term", "left_semi")
     counts = stored(counts.groupBy("term").agg(F.max("lines").alias("least"), F.sum("lines").alias("most")), "counts", thin=True)
     most = counts.where("term = ''").agg(F.coalesce(F.max("most"), F.lit(1)).alias("n")).first().n
     # share >= discloses means of_term <= both * (total / of_entity) ** (1 - discloses), and total <= most

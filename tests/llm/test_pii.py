@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 import pytest
@@ -48,6 +49,50 @@ def test_query_against_brute_force(spark, medium):
     assert sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows.values()) > 50
 
 
+def brute_terms(texts):
+    """Terms that give away 0.9 of an entity's information on three different lines, counted over all different lines."""
+    word = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+    holds, near, own = {}, {}, {}
+    for text in texts:
+        spans = slow_spans(text)
+        at = 0
+        for line in text.split("\n"):
+            if line:
+                holds[line] = {m[0].lower() for m in word.finditer(line)}
+            free = [(at + m.start(), m[0].lower()) for m in word.finditer(line) if not any(s < at + m.end() and at + m.start() < e for s, e, _ in spans)]
+            for s, e, kind in spans:
+                if at <= s < at + len(line):
+                    value = text[s:e].lower() if kind == "email" else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", text[s:e])
+                    before, after = [w for p, w in free if p < s], [w for p, w in free if p >= s]
+                    for w in before[-8:] + after[:8]:
+                        near.setdefault(((kind, value), w), set()).add(line)
+                        own.setdefault((kind, value), set()).add(line)
+            at += len(line) + 1
+    total, found = len(holds), set()
+    for (entity, term), lines in near.items():
+        of_entity, of_term = len(own[entity]), sum(term in h for h in holds.values())
+        if len(lines) >= 3 and of_entity < total:
+            share = math.log(len(lines) * total / (of_entity * of_term)) / math.log(total / of_entity)
+            if share >= 0.9:
+                found.add(term)
+    return found, word
+
+
+def test_term_spans_against_brute_force(spark, small):
+    """The query over its table, with more documents in which some terms reveal some values, a third of them copies."""
+    lines = [f"{w} agent {a} writes from {m} now {w}" for k, (a, m) in enumerate([("brzlt", "b.z@x.org"), ("krzlt", "10.1.2.3"), ("the", "c@x.org")]) for w in "one two three four five".split()]
+    added = [(10_000 + i, lines[i % len(lines)] + "\n" + ("brzlt rests" if i % 4 else "rest")) for i in range(60)]
+    docs = table(spark, small, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(added, "doc_id long, text string"))
+    rows = {r.doc_id: r for r in pii.findings(docs).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    terms, word = brute_terms(texts.values())
+    assert {"brzlt", "krzlt"} <= terms and "the" not in terms
+    for i, text in texts.items():
+        spans = slow_spans(text)
+        want = {(m.start(), m.end()) for m in word.finditer(text) if m[0].lower() in terms and not any(s < m.end() and m.start() < e for s, e, _ in spans)}
+        assert {(t.start, t.end) for t in rows[i].terms} == want
+
+
 LINES = [f"{a} {b} wrote zorblatt{'' if i % 2 else ''} the {a} report mail qx.7@mail.example.com about {b} {c}" for i, (a, b, c) in enumerate([("red", "fox", "one"), ("blue", "hen", "two"), ("green", "cow", "three"), ("black", "cat", "four")])]
 
 
