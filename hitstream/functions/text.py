@@ -99,3 +99,40 @@ def midpoint(a: Column, b: Column) -> Column:
 
 def fixed(value: Column, digits: int = 9) -> Column:
     return F.format_string(f"%.{digits}f", value)
+
+
+LOCAL_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
+
+
+def local_ms(value: Column, offset_hours: int = 8, formats: tuple[str, ...] = LOCAL_FORMATS) -> Column:
+    """Milliseconds of a local wall time at a fixed offset, in the first format that fits; null if none does."""
+    zoned = [F.try_to_timestamp(F.concat(value, F.lit("Z")), F.lit(f + "XXX")) for f in formats]
+    return F.unix_millis(F.coalesce(*zoned)) - F.lit(offset_hours * 3_600_000)
+
+
+def labelled(value: Column, labels: dict, default: Column | None = None) -> Column:
+    """The label of a value; ``default`` (else its text) for others."""
+    out = F.lit(None).cast("string")
+    for k, v in labels.items():
+        out = F.when(value == F.lit(k), F.lit(v)).otherwise(out)
+    return F.coalesce(out, value.cast("string") if default is None else default)
+
+
+def padded(number: Column, digits: int, prefix: str = "") -> Column:
+    """``prefix`` and the number with leading zeros; longer numbers are not cut."""
+    return F.format_string(f"{prefix}%0{digits}d", number.cast("long"))
+
+
+def big_endian(data: Column, at: Column | int, size: int) -> Column:
+    """Unsigned integer of ``size`` bytes at byte offset ``at`` (from 0), most significant first; of eight bytes as the long with the same bits."""
+    start = at + 1 if isinstance(at, Column) else F.lit(at + 1)
+    digits = F.hex(F.substring(data, start, F.lit(size)))
+    if size < 8:
+        return F.conv(digits, 16, 10).cast("long")
+    half = lambda i: F.conv(F.substring(digits, i, 8), 16, 10).cast("long")
+    return F.when(F.length(digits) == 16, F.shiftleft(half(1), 32).bitwiseOR(half(9)))
+
+
+def big_endian_bytes(value: Column, size: int) -> Column:
+    """The last ``size`` bytes of a long, most significant first."""
+    return F.unhex(F.substring(F.lpad(F.hex(value.cast("long")), 16, "0"), 17 - 2 * size, 2 * size))

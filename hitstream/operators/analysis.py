@@ -57,6 +57,13 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     return df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def integer_histogram(df: DataFrame, value: str) -> DataFrame:
+    """Counts in bins centred on the integers from 0 to the maximum, empty ones included; values below the first bin's edge -0.5 don't count."""
+    own = df.where(F.col(value) >= -0.5).groupBy(F.floor(F.col(value) + 0.5).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    bins = own.agg(F.max("bin").alias("top")).where("top is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("bin"))
+    return bins.join(own, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def interpolated(series: DataFrame, by: list[str], step: int, offset: int | Column = 0, idx: str = "idx", value: str = "value") -> DataFrame:
     """``series`` (regular index per key) with ``approx``: linear interpolation of every ``step``-th sample, extrapolated at both ends.
 

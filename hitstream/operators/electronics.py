@@ -43,12 +43,29 @@ def event_time(year: Column, month: Column, day: Column, hour: Column, minute: C
 
 #: Register transforms by name: what a readable value becomes on the wire.
 REGISTERS = {
-    "rate": lambda v: F.shiftleft(v, 8).bitwiseOR(F.lit(143)),
+    "rate": lambda v: F.when(v == 0, F.lit(15)).otherwise(F.shiftleft(v, 8).bitwiseOR(F.lit(143))),
     "half": lambda v: F.floor(v / 2),
     "tenth": lambda v: F.floor(v / 10),
     "from_one": lambda v: v - 1,
     "inverted": lambda v: F.when(v == 0, 1).otherwise(0),
+    "block": lambda v: F.when((v < 0) | (v > 16_384), F.lit(10_880)).otherwise(v),
+    # whole volts: counts times 2.5 V over the divider 18 / (18 + 91) and 4096 counts, lifted by 0.05 and cut to a tenth, then to a whole
+    "battery": lambda v: F.floor(F.floor((F.floor(v * F.lit(2.5 * (18 + 91) / (18 * 4096))) + 0.05) * 10) / 10),
+    # gain in dB from -14 to 23.5 over 2.5 V at 4096 counts
+    "gain": lambda v: F.floor(F.lit(4096.0) * (v + 14) / F.lit(37.5 * 2.5) + 0.5),
 }
+#: Registers whose value must lie within bounds.
+REGISTER_BOUNDS = {"from_one": (1, 8), "gain": (-14.0, 23.5)}
+
+
+def register(name: str, value: Column) -> Column:
+    """A readable value as it is written; one beyond its bounds is an error."""
+    out = REGISTERS[name](value)
+    if name not in REGISTER_BOUNDS:
+        return out
+    low, high = REGISTER_BOUNDS[name]
+    wrong = F.raise_error(F.format_string(f"%s is not within {low} and {high} of register {name}", value.cast("string")))
+    return F.when((value >= low) & (value <= high), out).otherwise(wrong.cast("double" if name == "gain" else "long"))
 
 
 def packed(fields: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitstream.functions import kernels
@@ -60,6 +60,14 @@ def mixed(sim: DataFrame, du_map: DataFrame, md: DataFrame, calibration: DataFra
     return each
 
 
+def fitted_trace(before: Column, after: Column, length: Column) -> Column:
+    """A background trace of the simulation's length: the nearest one, or the two nearest in order if each is half as long; else an error. Null stays null."""
+    n = F.size(before)
+    half = (n == F.floor(length / 2)) & after.isNotNull()
+    wrong = F.raise_error(F.format_string("a background trace of %s samples does not fit %s", n.cast("string"), length.cast("string")))
+    return F.when(before.isNull(), F.lit(None)).when(n == length, before).when(half, F.concat(before, after)).otherwise(wrong.cast("array<double>"))
+
+
 CHANNEL = "event long, du long, t_ns long, channel string, flt0 boolean, t1 int, score int"
 
 

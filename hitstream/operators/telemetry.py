@@ -187,3 +187,54 @@ def best_run(runs: DataFrame, start: int, end: int) -> DataFrame:
     """One row: the run (columns run, first_t, last_t) that overlaps the interval most; of equals the first."""
     overlap = F.least(F.col("last_t"), F.lit(end)) - F.greatest(F.col("first_t"), F.lit(start))
     return runs.withColumn("overlap", overlap).where("overlap > 0").orderBy(F.desc("overlap"), "run").limit(1)
+
+
+def in_range(df: DataFrame, t: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Samples from ``start`` to ``end``, both included; an end that is None is open."""
+    if start is not None:
+        df = df.where(F.col(t) >= start)
+    return df if end is None else df.where(F.col(t) <= end)
+
+
+def first_of_time(df: DataFrame, by: list[str], t: str, order: list[str]) -> DataFrame:
+    """Of samples with exactly the same time the first in file order."""
+    w = Window.partitionBy(*by, t).orderBy(*order)
+    return df.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
+
+
+def range_deltas(df: DataFrame, by: list[str], t: str, counters: list[str], width: int, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Counter steps per bucket of a time range, falls counted as 0: the sample before the range is the baseline of its first step."""
+    w = Window.partitionBy(*by).orderBy(t)
+    each = in_range(df, t, None, end)
+    for c in counters:
+        each = each.withColumn(f"__{c}", F.greatest(F.lit(0), F.col(c) - F.lag(c).over(w)))
+    each = in_range(each.withColumn("__nth", F.row_number().over(w)).where("__nth > 1"), t, start)
+    return each.groupBy(*by, bucket(t, width).alias("start")).agg(*[F.sum(f"__{c}").alias(c) for c in counters], F.count("*").alias("pairs"))
+
+
+def overlapping_days(files: DataFrame, day: str, start: int, end: int, slack_days: int = 0, offset_hours: int = 0) -> DataFrame:
+    """Files whose day (yyyyMMdd) lies within a range of milliseconds, local days at a fixed offset; files without a day stay."""
+    local = lambda ms: F.date_add(F.lit("1970-01-01").cast("date"), F.lit((ms + offset_hours * 3_600_000) // 86_400_000).cast("int"))
+    own = F.to_date(F.try_to_timestamp(day, F.lit("yyyyMMdd")))
+    inside = (own >= F.date_sub(local(start), slack_days)) & (own <= F.date_add(local(end), slack_days))
+    return files.where(F.coalesce(inside, F.lit(True)))
+
+
+def retained(buckets: DataFrame, start: str, keep: int) -> DataFrame:
+    """Buckets that begin within ``keep`` ticks before the latest one."""
+    return buckets.crossJoin(F.broadcast(buckets.agg(F.max(start).alias("__last")))).where(F.col(start) >= F.col("__last") - keep).drop("__last")
+
+
+def loss_distribution(buckets: DataFrame, start: str, missing: str, expected: str) -> DataFrame:
+    """One row: windows, those without a loss, and the one with the greatest loss (of equals the first), with its share of all that was expected in percent."""
+    worst = F.max_by(F.struct(F.col(start).alias("start"), F.col(missing).alias("missing")), F.struct(F.col(missing), -F.col(start)))
+    out = buckets.agg(F.count("*").alias("windows"), F.count_if(F.col(missing) == 0).alias("clean"), worst.alias("worst"), F.sum(expected).alias("expected"))
+    pct = F.when(F.col("expected") > 0, F.col("worst.missing") / F.col("expected") * 100).otherwise(F.lit(0.0))
+    return out.where("windows > 0").select("windows", "clean", F.col("worst.start").alias("worst_start"), F.col("worst.missing").alias("worst_missing"), pct.alias("worst_pct"))
+
+
+def contributions(buckets: DataFrame, missing: str, expected: str) -> DataFrame:
+    """Buckets with the share of all expected fragments that each of them lost, in percent."""
+    whole = F.broadcast(buckets.agg(F.sum(expected).alias("__all")))
+    pct = F.when(F.col("__all") > 0, F.col(missing) / F.col("__all") * 100).otherwise(F.lit(0.0))
+    return buckets.crossJoin(whole).withColumn("contribution_pct", pct).drop("__all")

@@ -1,6 +1,6 @@
 """The query catalogue: importing this package registers every query."""
 
-from hitstream.plans import analysis, joins, streams, telemetry, triggers, waves
+from hitstream.plans import analysis, frontend, joins, streams, telemetry, triggers, waves
 from hitstream.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "joins", "streams", "telemetry", "triggers", "waves"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "frontend", "joins", "streams", "telemetry", "triggers", "waves"]

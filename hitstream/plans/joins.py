@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hitstream.operators import asof, lookups
 from hitstream.plans.registry import query
+from hitstream.sources import tables
 from hitstream.tables import HITS, HOUR, hits, read
 
 H = f"WITH h AS ({HITS})"
@@ -103,11 +104,10 @@ def positional_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{H}, m AS (SELECT du, t, event_id, t - min(t) OVER (PARTITION BY du) AS rel FROM h)
-SELECT du, count(*) AS n, max(rel) AS span, max(CASE WHEN rel < {HOUR} * 24 THEN rel END) AS first_day FROM m GROUP BY du"""
+    f"""{H}, m AS (SELECT kind AS file_path, event_id AS entry_index, (t - min(t) OVER ()) * 1000 AS rel_ns FROM h WHERE du = 7)
+SELECT *, (rel_ns // 1000000000)::VARCHAR || '.' || lpad((rel_ns % 1000000000)::VARCHAR, 9, '0') AS relative_time_sec FROM m"""
 )
 def relative_time_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    h = hits(spark, sf_dir).withColumn("rel", F.col("t") - F.min("t").over(Window.partitionBy("du")))
-    return h.groupBy("du").agg(F.count("*").alias("n"), F.max("rel").alias("span"), F.max(F.when(F.col("rel") < HOUR * 24, F.col("rel"))).alias("first_day"))
+    h = hits(spark, sf_dir)
+    records = h.select(F.col("du").alias("feb_id"), F.expr("t div 1000000").alias("sec"), F.expr("t % 1000000 * 1000").alias("nsec"), F.col("kind").alias("file_path"), F.col("event_id").alias("entry_index"))
+    return tables.relative_entries(records, 7)

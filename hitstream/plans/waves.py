@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitstream.functions import kernels
+from hitstream.operators import electronics
 from hitstream.plans.registry import query
 from hitstream.tables import read
 
@@ -61,13 +62,14 @@ def notch_fir(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, list_aggregate(list_transform(embedding, lambda x: abs(x::DOUBLE)), 'max') AS peak FROM embeddings)
 SELECT vec_id, CASE WHEN label % 3 = 0 THEN 512 WHEN label % 3 = 1 THEN 1024 ELSE 1536 END AS pattern, round(sqrt(list_dot_product(e, e) / len(e)), 6) AS rms, round(peak, 6) AS peak,
-       CASE WHEN peak > 0.3 THEN 'PASS' WHEN peak > 0.25 THEN 'FLT_SUPPRESSED' ELSE 'FLT0' END AS outcome FROM p"""
+       CASE WHEN peak <= 0.2::DOUBLE THEN 'FLT0' WHEN peak <= 0.25::DOUBLE THEN 'FLT_SUPPRESSED' WHEN floor(peak * 65535) / 65535 > 0.3::DOUBLE THEN 'PASS' ELSE 'FLT1' END AS outcome FROM p"""
 )
 def trace_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-trace labels without Python: pattern, RMS, peak, outcome."""
     rows = read(spark, sf_dir, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
     peak = F.array_max(F.transform("e", F.abs))
     power = F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)
-    pattern = F.when(F.col("label") % 3 == 0, 512).when(F.col("label") % 3 == 1, 1024).otherwise(1536)
-    outcome = F.when(peak > 0.3, "PASS").when(peak > 0.25, "FLT_SUPPRESSED").otherwise("FLT0")
+    pattern = electronics.trigger_pattern(F.col("label") % 3 != 1, F.col("label") % 3 != 0)
+    score = F.when(peak > 0.25, F.floor(peak * 65_535))
+    outcome = electronics.outcome(peak > 0.2, score, 0.3)
     return rows.select("vec_id", pattern.alias("pattern"), F.round(F.sqrt(power / F.size("e")), 6).alias("rms"), F.round(peak, 6).alias("peak"), outcome.alias("outcome"))

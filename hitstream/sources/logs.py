@@ -28,8 +28,12 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def duplicate_log(spark: SparkSession, paths: str | list[str], least_hits: int = 2) -> DataFrame:
-    """Events of duplicate-reject logs: t_ns, ts, hits (du, t_ns) in file order; lines that don't parse or hold too few hits are dropped."""
-    raw = lines(spark, paths).select("file", "line", *[F.regexp_extract("value", DUPLICATE_LINE, i).alias(c) for i, c in enumerate(("s", "n", "list"), 1)]).where("s <> ''")
+    return duplicates_in(lines(spark, paths), least_hits)
+
+
+def duplicates_in(log: DataFrame, least_hits: int = 2) -> DataFrame:
+    """Events of duplicate-reject lines (value, file, line): t_ns, ts, hits (du, t_ns) in file order; lines that don't parse or hold too few hits are dropped."""
+    raw = log.select("file", "line", *[F.regexp_extract("value", DUPLICATE_LINE, i).alias(c) for i, c in enumerate(("s", "n", "list"), 1)]).where("s <> ''")
     pairs = [F.regexp_extract_all("list", F.lit(r"\(\s*(\d+)\s*,\s*(\d+)\s*\)"), F.lit(g)) for g in (1, 2)]
     hits = F.transform(F.arrays_zip(pairs[0].alias("du"), pairs[1].alias("t")), lambda p: F.struct(p["du"].cast("long").alias("du"), p["t"].cast("long").alias("t_ns")))
     rest = F.regexp_replace(F.regexp_replace("list", r"\(\s*\d+\s*,\s*\d+\s*\)", ""), r"[\s,]", "")
@@ -44,8 +48,12 @@ def first_events(log: DataFrame, n: int) -> DataFrame:
 
 
 def health_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Health lines with their record, time in ms and a state: ok, parse_error, health_parse_error or no_health."""
-    raw = lines(spark, paths).where(F.trim("value") != "")
+    return health_in(lines(spark, paths))
+
+
+def health_in(log: DataFrame) -> DataFrame:
+    """Health lines (value, file, run, day, line) with their record, time in ms and a state: ok, parse_error, health_parse_error or no_health."""
+    raw = log.where(F.trim("value") != "")
     rec = raw.withColumn("r", F.from_json("value", HEALTH, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}))
     state = F.when(F.col("r").isNull() | F.col("r.bad").isNotNull(), "parse_error").when(F.col("r.raw") == "health_parse_error", "health_parse_error").when(F.col("r.health").isNull(), "no_health").otherwise("ok")
     return rec.select("file", "run", "day", "line", state.alias("state"), text.iso_ms(F.col("r.ts")).alias("t_ms"), F.col("r.health").alias("health"))
@@ -63,9 +71,13 @@ def fast_fields(spark: SparkSession, paths: str | list[str], field: str = "activ
 
 
 def timeout_log(spark: SparkSession, paths: str | list[str], zone: str = "UTC") -> DataFrame:
+    return timeouts_in(lines(spark, paths), zone)
+
+
+def timeouts_in(log: DataFrame, zone: str = "UTC") -> DataFrame:
     """Timeout lines of console logs: observed_ms, tag, event_ts_ns. The zone of the host's clock is stated, not assumed."""
     parts = [F.regexp_extract("value", TIMEOUT_LINE, i) for i in range(1, 5)]
-    rows = lines(spark, paths).where(F.col("value").rlike(TIMEOUT_LINE))
+    rows = log.where(F.col("value").rlike(TIMEOUT_LINE))
     return rows.select("file", "line", text.log_ms(parts[0], F.nullif(parts[1], F.lit("")), zone).alias("observed_ms"), parts[2].cast("long").alias("tag"), parts[3].cast("long").alias("event_ts_ns")).where("observed_ms > 0")
 
 
