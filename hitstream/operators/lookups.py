@@ -12,9 +12,14 @@ from pyspark.sql.window import Window
 SMALL_ROWS = 100_000
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most so many rows (looked at up to that many), else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: And its size as text.
+SMALL_BYTES = 64 << 20
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows and bytes (looked at up to that many rows), else as it is."""
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if seen.n <= rows and seen.size <= size else df
 
 
 def dual_indexed(mapping: DataFrame, key: str, base: int = 65_000) -> DataFrame:

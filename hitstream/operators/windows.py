@@ -33,9 +33,23 @@ def passthrough(hits: DataFrame) -> DataFrame:
 
 
 def candidate_flags(hits: DataFrame, window: int, nhit: int) -> DataFrame:
-    """Each hit with the number of distinct DUs within ``window`` ticks from it, and whether that reaches ``nhit``."""
-    ahead = Window.partitionBy("tm_id").orderBy("t").rangeBetween(0, window)
-    return hits.withColumn("n_du", F.size(F.collect_set("du").over(ahead))).withColumn("candidate", F.col("n_du") >= nhit)
+    """Each hit with the number of distinct DUs within ``window`` ticks from it, and whether that reaches ``nhit``.
+
+    A hit is its DU's first one for the ticks behind the DU's hit before it, and within the window for those from t - window to t. So each hit counts
+    for one interval of ticks, those of a DU don't overlap, and a running sum over the intervals' ends counts DUs: two ordered passes, however
+    many hits a window holds.
+    """
+    before = F.lag("t").over(Window.partitionBy("tm_id", "du").orderBy("t"))
+    names = hits.columns
+    rows = hits.select(F.struct(*[hits[f"`{c}`"] for c in names]).alias("hit"), "tm_id", "t", F.greatest(F.col("t") - window, F.coalesce(before + 1, F.col("t") - window)).alias("start"))
+    point = lambda at, step, hit: F.struct(at.alias("at"), F.lit(step).alias("step"), hit.alias("hit"))
+    nobody = F.when(F.lit(False), F.col("hit"))
+    ends = F.when(F.col("start") <= F.col("t"), F.array(point(F.col("start"), 1, nobody), point(F.col("t") + 1, -1, nobody))).otherwise(F.array().cast(rows.select(F.array(point(F.col("t"), 1, nobody))).schema[0].dataType))
+    each = rows.select("tm_id", F.explode(F.concat(ends, F.array(point(F.col("t"), 0, F.col("hit"))))).alias("p"))
+    # all ends at a tick count before the hits at it: the frame is a range of ticks
+    upto = Window.partitionBy("tm_id").orderBy("p.at").rangeBetween(Window.unboundedPreceding, 0)
+    out = each.withColumn("n_du", F.sum("p.step").over(upto).cast("int")).where("p.hit is not null")
+    return out.select(*[F.col("p.hit").getField(c).alias(c) for c in names], "n_du", (F.col("n_du") >= nhit).alias("candidate"))
 
 
 def greedy(t: np.ndarray, du: np.ndarray, window: int, nhit: int) -> Iterator[tuple[int, int]]:

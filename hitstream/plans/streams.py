@@ -24,6 +24,20 @@ def gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("du_ids", F.array_join(F.transform("du_ids", lambda x: x.cast("string")), ","))
 
 
+@query()
+def gate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.statistics(arrivals(spark, sf_dir), GATE)
+
+
+@query()
+def gate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A DU's hits of an hour and a kind as one batch, which replaces those that the DU had there."""
+    one = arrivals(spark, sf_dir).withColumn("tm", F.expr(f"t div {HOUR}"))
+    batches = one.groupBy("array", "du", "tm", (F.col("seq") % 2).alias("half")).agg(F.max("arrival").alias("arrival"), F.max("seq").alias("seq"), F.array_sort(F.collect_list("t")).alias("ticks"))
+    out = gate.replay(batches.select("array", "arrival", "seq", "du", "ticks"), GATE)
+    return out.withColumn("du_ids", F.array_join(F.transform("du_ids", lambda x: x.cast("string")), ","))
+
+
 @query()
 def builder_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders begin events, lines are fragments, days are time: 400 days from the order until the timeout."""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from hitstream.sources.binary import DATA_VERSION, FILE_HEADER, NAME_BYTES, RECORD_HEADER
 
@@ -37,6 +38,26 @@ def write_if_rows(df: DataFrame, path: str, form: str = "csv") -> bool:
     return True
 
 
+def write_lookup(df: DataFrame, path: str) -> None:
+    """A lookup table in the form that its name asks for: Parquet or CSV."""
+    form = path.rstrip("/").rpartition(".")[2]
+    if form not in ("parquet", "csv"):
+        raise ValueError(f"{path}: a lookup table is written as .parquet or .csv")
+    writer = df.write.mode("overwrite")
+    writer.option("header", True).csv(path) if form == "csv" else writer.parquet(path)
+
+
+def write_summary(summary: DataFrame, rows: DataFrame, path: str) -> bool:
+    """A one-row summary as JSON, and its rows as CSV where there are any; tells whether there are."""
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    return write_if_rows(rows, f"{path}/rows")
+
+
+def each_result(stream: DataFrame, call: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
+    """``call`` gets every micro-batch of results and its number, once it is complete: the callback of a running trigger. Not started yet."""
+    return stream.writeStream.foreachBatch(call).option("checkpointLocation", checkpoint)
+
+
 def fixed_lines(df: DataFrame, columns: list[str], digits: int = 9) -> DataFrame:
     """Lines of fields separated by spaces, doubles with a fixed number of digits."""
     parts = [F.format_string(f"%.{digits}f", F.col(c)) if t == "double" else F.col(c).cast("string") for c, t in df.select(*columns).dtypes]

@@ -155,3 +155,12 @@ def t2_hits(payloads: DataFrame, payload: str = "payload") -> DataFrame:
 
 def t2_payload(du: int, hits: list[tuple[int, int, int]]) -> bytes:
     return struct.pack("<I", du) + b"".join(struct.pack("<QHH", *h) for h in hits)
+
+
+def samples(dat: DataFrame, files: int, records: int) -> DataFrame:
+    """The first whole records of each of the first files (by path): path, idx, rec_type, source, name, payload. ``name`` is a file's for the sample."""
+    good = dat.where(F.col("error").isNull() & (F.col("idx") < records))
+    first = good.select("path").distinct().orderBy("path").limit(files)
+    stem = F.regexp_extract("path", r"([^/]+?)(?:\.dat)?$", 1)
+    name = F.format_string("%s_%04d.bin", stem, F.col("idx"))
+    return good.join(F.broadcast(first), "path").select("path", "idx", "rec_type", "source", name.alias("name"), "payload")

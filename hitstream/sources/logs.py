@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hitstream.functions import text
+from hitstream.operators import lookups
 
 DUPLICATE_LINE = r"^\s*(\d+)\.(\d{9}):\s*\[(.*)\]\s*$"
 TIMEOUT_LINE = r"^\[(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})(?:\.(\d+))?\].*Builder diag type=Timeout tag=(\d+).*?event_trigger_timestamp_ns=(\d+)"
@@ -100,7 +101,7 @@ def with_run(records: DataFrame) -> DataFrame:
     files = records.select("file", "run", "day").distinct()
     order = Window.orderBy(F.coalesce("run", F.lit("")), F.coalesce("day", F.lit("")), "file").rowsBetween(Window.unboundedPreceding, 0)
     runs = files.withColumn("known", F.last("run", True).over(order)).select("file", "known")
-    return records.join(F.broadcast(runs), "file").withColumn("run", F.col("known")).drop("known")
+    return records.join(lookups.small(runs), "file").withColumn("run", F.col("known")).drop("known")
 
 
 def live_health(spark: SparkSession, url: str, timeout: float = 5.0) -> DataFrame:

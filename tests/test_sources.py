@@ -350,3 +350,81 @@ def test_phase_exposure_against_interpolation(spark):
         assert r.offsets == step and abs(r["mean"] - e.mean()) < 1e-5 and abs(r.spread - e.std()) < 1e-5
         got = [q.approx for q in analysis.interpolated(df, ["k"], step).orderBy("idx").collect()]
         assert np.allclose(got, filled(0, step))
+
+
+def test_found_files(spark, tmp_path):
+    for name in ("b/health_20240102_000000.jsonl", "a/health_20240101_000000_20240103.jsonl", "a/health_20240101_000000.jsonl.gz", "a/x.log"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    got = tables.found_files(spark, [str(tmp_path), str(tmp_path / "a" / "*.jsonl"), str(tmp_path / "a" / "x.log")], name=r"^health_").collect()
+    assert [(r.file, r.run, r.day) for r in got] == [
+        ("health_20240101_000000.jsonl.gz", "20240101_000000", "20240101"), ("health_20240102_000000.jsonl", "20240102_000000", "20240102"), ("health_20240101_000000_20240103.jsonl", "20240101_000000", "20240103"),
+    ]
+    assert [r.file for r in tables.found_files(spark, [str(tmp_path)], pattern="*.log").collect()] == ["x.log"]
+
+
+def test_npz_results_in_two_layouts(spark, tmp_path):
+    def put(place, array):
+        path = tmp_path / place
+        path.parent.mkdir(parents=True, exist_ok=True)
+        np.savez(path, triggered=array)
+
+    put("sim_batch_0001/sim_00007.npz", np.array([True, False, True]))
+    put("sim_batch/sim_batch_0001/sim_00007.npz", np.array([False]))
+    put("sim_batch/sim_batch_0002/sim_00008.npz", np.array([0, 1]))
+    (tmp_path / "sim_batch_0003").mkdir()
+    (tmp_path / "sim_batch_0003" / "sim_00009.npz").write_bytes(b"no archive")
+    np.savez(tmp_path / "sim_batch_0003" / "sim_00010.npz", other=np.zeros(3))
+    got = sorted(map(tuple, tables.npz_results(spark, str(tmp_path)).collect()))
+    assert got == [(1, 7, 2, 3), (2, 8, 1, 2), (3, 9, None, None), (3, 10, None, None)]
+
+
+@pytest.mark.parametrize("name", ["t.parquet", "t.csv"])
+def test_lookup_tables_round_trip(spark, tmp_path, name):
+    df = spark.createDataFrame([(1, 2.5, "f", 3, 512)], tables.LOOKUP)
+    files.write_lookup(df, str(tmp_path / name))
+    assert [tuple(r) for r in tables.lookup_table(spark, str(tmp_path / name)).collect()] == [(1, 2.5, "f", 3, 512)]
+
+
+def test_lookup_tables_as_text_and_in_wrong_forms(spark, tmp_path):
+    path = write(tmp_path / "t.txt", "du_id;timestamp_sec  file_path\tentry_index trace_length\n7; 1.5 x 2 512\n\n8 2.5 y 3 1024\n")
+    assert [tuple(r) for r in tables.lookup_table(spark, path).collect()] == [(7, 1.5, "x", 2, 512), (8, 2.5, "y", 3, 1024)]
+    for bad in ("t.pkl", "t.pickle"):
+        with pytest.raises(ValueError):
+            tables.lookup_table(spark, str(tmp_path / bad))
+    with pytest.raises(ValueError):
+        files.write_lookup(spark.range(1), str(tmp_path / "t.pkl"))
+
+
+def test_samples_of_record_files(spark):
+    rows = [(f"/d/run-{k}.dat", 1, None, None, i, 2, 3, bytes([k, i]), "cut short" if (k, i) == (1, 1) else None) for k in range(3) for i in range(4)]
+    dat = spark.createDataFrame(rows, binary.DAT)
+    got = sorted((r.name, bytes(r.payload)) for r in binary.samples(dat, 2, 3).collect())
+    assert got == [("run-0_0000.bin", b"\0\0"), ("run-0_0001.bin", b"\0\1"), ("run-0_0002.bin", b"\0\2"), ("run-1_0000.bin", b"\1\0"), ("run-1_0002.bin", b"\1\2")]
+
+
+def test_summary_and_rows(spark, tmp_path):
+    one = spark.createDataFrame([(3,)], "n long")
+    assert files.write_summary(one, spark.range(2), str(tmp_path / "a")) and not files.write_summary(one, spark.range(0), str(tmp_path / "b"))
+    assert spark.read.json(str(tmp_path / "b" / "summary")).first().n == 3 and (tmp_path / "a" / "rows").exists() and not (tmp_path / "b" / "rows").exists()
+
+
+def test_registers_out_of_bounds(spark):
+    from hitstream.operators import electronics
+
+    df = spark.createDataFrame([(9,)], "v long")
+    assert df.select(electronics.register("rate", F.col("v"))).first()[0] == 9 * 256 + 143
+    for name, value in (("from_one", 9), ("gain", 24)):
+        with pytest.raises(Exception, match="not within"):
+            spark.createDataFrame([(value,)], "v long").select(electronics.register(name, F.col("v"))).collect()
+
+
+def test_background_traces_fit(spark):
+    from hitstream.operators import pipeline
+
+    rows = [(1, [1.0, 2.0], [3.0, 4.0], 2), (2, [1.0], [2.0], 2), (3, None, None, 2)]
+    df = spark.createDataFrame(rows, "i int, a array<double>, b array<double>, n int")
+    fit = pipeline.fitted_trace(F.col("a"), F.col("b"), F.col("n"))
+    assert [r.t for r in df.select(fit.alias("t")).collect()] == [[1.0, 2.0], [1.0, 2.0], None]
+    with pytest.raises(Exception, match="does not fit"):
+        spark.createDataFrame([(1, [1.0, 2.0, 3.0], [1.0], 2)], df.schema).select(fit).collect()

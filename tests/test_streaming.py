@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -119,6 +120,63 @@ def test_stream_is_the_replay(spark, tmp_path):
     assert closed(spark.read.parquet(str(tmp_path / "out")).collect()) == model(rows, config())
 
 
+def test_statistics_are_the_models(spark):
+    rows, cfg = arrivals(5), config(max_pending=1)
+    got = {r.array: r.asDict() for r in gate.statistics(spark.createDataFrame(rows, ARRIVALS), cfg).collect()}
+    for a in ("p", "q"):
+        g = Gate(cfg)
+        for _, now, _, du, t in sorted(r for r in rows if r[0] == a):
+            while (at := g.next_deadline()) is not None and at <= now:
+                g.poll(at)
+            g.arrive(now, du, [t], replace=False)
+            g.poll(now)
+        while (at := g.next_deadline()) is not None:
+            g.poll(at)
+        assert got[a] == {"array": a} | g.stats and g.stats["forced"] and g.stats["closed"]
+
+
+def test_batches_replace(spark):
+    rows = [("p", 0, 0, 1, [10, 20]), ("p", 5, 1, 1, [30]), ("p", 6, 2, 2, [40, 140])]
+    df = spark.createDataFrame(rows, "array string, arrival long, seq long, du long, ticks array<long>")
+    assert [(r.tm_id, r.hit_count, r.du_ids) for r in sorted(gate.replay(df, config()).collect())] == [(0, 2, [1, 2]), (1, 1, [2])]
+
+
+def test_heaps_find_what_scans_find():
+    """Deadlines, guards and the oldest bucket against the plain reading of their rules, under random arrivals."""
+    rng = random.Random(3)
+    g, guard = Gate(config(max_pending=4, mode="last_arrival")), {}
+    for now in range(0, 4000, 7):
+        guard = {k: v for k, v in guard.items() if v > now}
+        oldest = min(g.pending.values(), key=lambda b: b.first).tm_id if g.pending else None
+        before = set(g.pending)
+        g.arrive(now, rng.randrange(3), [rng.randrange(1500)])
+        assert set(g.guard) == set(guard) | {k for k in before if k in g.guard}
+        if len(g.pending) > 4:
+            assert oldest in g.forced
+        due = {k for k, b in g.pending.items() if now >= b.close_at}
+        closed = {c.tm_id for c in g.poll(now) if c.reason == "timeout"}
+        assert closed == due
+        guard = dict(g.guard)
+        assert g.next_deadline() == min((b.close_at for b in g.pending.values()), default=None)
+
+
+def test_silent_arrays_wake_up(spark, tmp_path):
+    rows = [("p", 10, 0, 1, 10), ("p", 12, 1, 2, 140), ("q", 11, 2, 1, 20)]
+    spark.createDataFrame(rows, ARRIVALS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(ARRIVALS).parquet(str(tmp_path / "in"))
+    run = gate.stream(source, config(), wake_ms=300, ticks_per_ms=1).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+    query = run.trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            got = spark.read.schema("array string, tm_id long, reason string").parquet(str(tmp_path / "out")).collect() if (tmp_path / "out").exists() else []
+            if len(got) == 3:
+                break
+    finally:
+        query.stop()
+    assert sorted((r.array, r.tm_id, r.reason) for r in got) == [("p", 0, "timeout"), ("p", 1, "timeout"), ("q", 0, "timeout")]
+
+
 def test_builder_outcomes():
     b = Builder(timeout=10, max_pending=2, known=frozenset({1, 2, 3}))
     assert b.begin(0, 7, [1, 2]) == [] and b.begin(0, 7, [1]) == [] and b.begin(0, 9, []) == []
