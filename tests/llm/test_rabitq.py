@@ -59,16 +59,29 @@ def test_dense_groups_chains_and_copies(dense, cell, block):
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 64))
+    x[200:] = x[:200] + rng.normal(size=(200, 64)) * rng.uniform(0.1, 2, (200, 1))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     exact, errors = x @ x.T, []
     for number in range(20):
-        signs, factor = rabitq.codes(x, number)
-        turned = x @ rabitq.rotation(64, rabitq.SEED + number)
-        estimate = np.where(signs, 1, -1) @ turned.T / 8 / factor[:, None]
-        spread = np.sqrt((1 - factor**2) / factor**2 / 63)[:, None]
-        errors.append(((estimate - exact) / spread)[~np.eye(400, dtype=bool)])
+        levels, factor, variance = rabitq.codes(x, number)
+        values = (levels - 7.5) / factor[:, None]
+        spread = np.sqrt(variance[:, None] + variance[None, :])
+        errors.append(((values @ values.T - exact) / spread)[~np.eye(400, dtype=bool)])
     errors = np.concatenate(errors)
-    assert abs(errors.mean()) < 0.05 and 0.8 < errors.std() < 1.1 and np.abs(errors).max() < 6
+    assert abs(errors.mean()) < 0.05 and 0.7 < errors.std() < 1.1 and np.abs(errors).max() < 6
+    assert np.array_equal(levels >= 8, x @ rabitq.rotation(64, rabitq.SEED + 19) >= 0)
+
+
+@pytest.mark.parametrize("dim", [1, 2, 7, 64])
+def test_codes_are_packed_and_rule_out_no_link(dim):
+    rng = np.random.default_rng(dim)
+    x = rabitq.units(np.repeat(rng.normal(size=(60, dim)), 5, axis=0) + 0.3 * rng.normal(size=(300, dim)))
+    levels, factor, variance = rabitq.codes(x)
+    assert np.array_equal(rabitq.unpacked(rabitq.packed(levels), dim), levels)
+    found = {(i, j) for a, b in rabitq.near(x, 0.9) for i, j in zip(a.tolist(), b.tolist())}
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(np.einsum("ij,kj->ik", x, x) >= 0.9, 1)))}
+    sure = {(i, j) for i, j in want if abs(x[i] @ x[j] - 0.9) > 1e-12}
+    assert sure <= found <= {(i, j) for i in range(300) for j in range(i + 1, 300) if x[i] @ x[j] > 0.9 - 1e-12}
 
 
 @pytest.mark.parametrize("count", [10, 10**5, 10**8])
@@ -90,3 +103,10 @@ def test_odd_rows_and_empty(spark):
     no_id = rabitq.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0], 1, 1), (1, [1.0, 0.0], 1, 1)], SCHEMA)).collect()
     assert sorted(map(tuple, no_id), key=str) == sorted([(None, 0, None, False), (1, 0, 1, True)], key=str)
     assert rabitq.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_clashing_columns(spark):
+    names = ["v", "h", "k", "id", "least", "copies", "n", "root", "n_links", "component_id", "kept", "dim", "slot", "own", "code"]
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [-0.0, 1.0])]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "vec_id long, embedding array<float>, " + ", ".join(f"{n} int" for n in names))
+    assert got(rabitq.near_duplicates(df)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False)]
