@@ -1,11 +1,12 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
-Every record hashes into one of thousands of slots that never change. Bytes are summed per slot, and a small
+Every record, an id with its text, hashes into one of thousands of slots that never change. Bytes are summed per slot, and a small
 table (version, slot, shard) says which shard holds which slot. Rebalancing and growing write a new
-version of that table that moves as few slots as needed; records are never hashed anew.
+version of that table that moves as few slots as needed; no record is hashed anew. An edited text is another record, so that the texts
+of one id, however many there are, spread over slots.
 
 Defined cases: a null text has size ``overhead``; rows with null ids hash by their text; exact repeats of a
-record share a slot; an empty table gives an empty result over a map whose slots all weigh nothing.
+record share a slot; an empty table gives an empty result over a map whose slots all weigh nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from hitstream.llm.common import stored
 SLOTS = 8192
 #: Bytes that a record takes besides its text.
 OVERHEAD = 8
+#: Parts that a slot's rows are dealt into to be numbered.
+DEALS = 8
 MAP_SCHEMA = "version int, slot int, shard int"
 
 
@@ -92,17 +95,17 @@ def map_table(spark: SparkSession, versions: list[np.ndarray]) -> DataFrame:
 def assign(records: DataFrame, slot_map: DataFrame, version: int) -> DataFrame:
     """Shard of every record under one map version, and its place there, gapless from 0.
 
-    Places come from counts per virtual slot (prefix sums over the small map) plus a row number within
-    the slot, so no task sorts a whole shard.
+    Places come from counts per virtual slot and deal (prefix sums over a table of ``DEALS`` rows a slot) plus a row number within
+    the deal, so no task sorts a whole shard, nor a slot that repeats of one record fill.
     """
     current = slot_map.where(F.col("version") == version).select(F.col("slot").alias("virtual_slot"), "shard")
-    counts = records.groupBy("virtual_slot").agg(F.count("*").alias("n")).join(F.broadcast(current), "virtual_slot")
-    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("virtual_slot", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32"))
+    counts = records.groupBy("virtual_slot", "deal").agg(F.count("*").alias("n")).join(F.broadcast(current), "virtual_slot")
+    before = Window.partitionBy("shard").orderBy("virtual_slot", "deal").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("virtual_slot", "deal", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("virtual_slot", "deal").orderBy("doc_id", "size", "text_crc32"))
     numbered = records.withColumn("place", place)
     return (
-        numbered.join(F.broadcast(base), "virtual_slot")  # base: one row per virtual slot at most
+        numbered.join(F.broadcast(base), ["virtual_slot", "deal"])  # base: SLOTS times DEALS rows at most
         .withColumn("slot", (F.col("base") + F.col("place") - 1).cast("long"))
         .withColumn("map_version", F.lit(version))
         .select("doc_id", "size", "text_crc32", "shard", "slot", "virtual_slot", "map_version")
@@ -112,7 +115,8 @@ def assign(records: DataFrame, slot_map: DataFrame, version: int) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """(records with shards, the map with its versions): version 0 deals slots in turn, 1 balances bytes."""
     spark = docs.sparkSession
-    records = stored(slotted(docs, slots), "records")  # the texts are read once
+    # the texts are read once, and each row's deal is settled when the table is written
+    records = stored(slotted(docs, slots).withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.lit(DEALS)).cast("int")), "records")
     weight = slot_bytes(records, slots)
     start = first_map(slots, shards)
     table = map_table(spark, [start, rebalanced(start, weight, shards)])
