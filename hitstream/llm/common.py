@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch that generators below gather before they yield.
 OUT_ROWS = 20_000
 #: Rows of one batch of whole texts.
-TEXT_ROWS = 2000
+TEXT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -195,7 +195,7 @@ class _Passing(dict):
         self.sketch = sketch
 
     def __missing__(self, word: str) -> bool:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         at = crc32(word.encode("utf-8", "surrogatepass")) % SKETCH
         self[word] = found = bool(self.sketch[at >> 3] >> (at & 7) & 1)
