@@ -2,6 +2,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from hitstream.streaming import builder, gate
 from hitstream.streaming.builder import Builder
@@ -210,6 +211,30 @@ def outcomes(rows):
     return sorted((r.tag, r.at, r.kind, r.attached, r.missing) for r in rows)
 
 
+def test_admission_limit_across_tags(spark):
+    rows = [(1, 0, 0, [1], None, None), (2, 1, 1, [1], None, None), (3, 2, 2, [1, 2], None, None), (1, 3, 3, None, 1, 1), (4, 4, 4, [1], None, None)]
+    df = spark.createDataFrame(rows, MESSAGES).withColumn("array", F.lit("p"))
+    got = outcomes(builder.replay(df, 10, "array", 2).collect())
+    assert got == [(1, 3, "complete", [1], []), (2, 11, "timeout", [], [1]), (3, 2, "rejected", [], [1, 2]), (4, 14, "timeout", [], [1])]
+
+
+def test_events_that_get_no_more_messages_end(spark, tmp_path):
+    rows = [(1, 0, 0, [1, 2], None, None), (1, 1, 1, None, 1, 1), (2, 1, 2, [1], None, None)]
+    spark.createDataFrame(rows, MESSAGES).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(MESSAGES).parquet(str(tmp_path / "in"))
+    run = builder.stream(source, 20, wake_ms=300).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+    query = run.trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            got = spark.read.schema(builder.OUTCOME).parquet(str(tmp_path / "out")).collect() if (tmp_path / "out").exists() else []
+            if len(got) == 2:
+                break
+    finally:
+        query.stop()
+    assert outcomes(got) == [(1, 20, "partial", [1], [2]), (2, 21, "timeout", [], [1])]
+
+
 def test_builder_replay_and_stream(spark, tmp_path):
     rows = messages(4)
     want = []
