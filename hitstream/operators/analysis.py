@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hitstream.operators import lookups
+
 #: Edges of the 15 energy bins are 10 ** (8 + 0.2 i) GeV; bands in eV, half-open.
 LOG_LOW, LOG_STEP, BINS = 8.0, 0.2, 15
 BANDS = [("gt100_PeV_all", 1e17, math.inf), ("lt3_EeV", 1e17, 3e18), ("ge3_EeV", 3e18, math.inf)]
@@ -105,7 +107,7 @@ def phase_exposure(series: DataFrame, by: list[str], step: int, dt: float, idx:
     i mod step alone, with the weight of its triangle (step), corrected at the two ends.
     """
     ends = series.groupBy(*by).agg(F.count("*").alias("__size"), F.sum(value).alias("__whole"))
-    s = series.join(F.broadcast(ends), by).withColumn("__offset", F.col(idx) % step)
+    s = series.join(lookups.small(ends), by).withColumn("__offset", F.col(idx) % step)
     # samples of an offset o: o, o + step, ..., last; m of them
     m = F.floor((F.col("__size") - 1 - F.col("__offset")) / step) + 1
     s = s.withColumn("__m", m).where("__m >= 2").withColumn("__k", F.floor(F.col(idx) / step))

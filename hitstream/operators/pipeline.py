@@ -76,26 +76,37 @@ def channels(mixed_traces: DataFrame, thresholds: DataFrame, templates: dict[str
     rows = mixed_traces.where("channel <> 'z'").join(lookups.small(thresholds), ["feb_id", "channel"], "left")
     rows = rows.select("event", "du", "t_ns", "channel", "sim", "md", "freq", "gain", "th1", "th2")
 
+    def filtered(b: pd.DataFrame, at: np.ndarray) -> np.ndarray:
+        """Mixed and filtered traces of rows of one length, as a matrix."""
+        sim = np.array(b["sim"].iloc[at].tolist(), dtype=np.float64)
+        gains: dict[bytes, list[int]] = {}
+        for k, (freq, gain) in enumerate(zip(b["freq"].iloc[at], b["gain"].iloc[at])):
+            if freq is not None:
+                gains.setdefault(np.asarray([freq, gain]).tobytes(), []).append(k)
+        for key, own in gains.items():  # a front end's traces together
+            freq, gain = np.frombuffer(key).reshape(2, -1)
+            sim[own] = kernels.calibrate(sim[own], freq, gain)
+        x = np.array(b["md"].iloc[at].tolist(), dtype=np.float64) + sim
+        x = kernels.notch(x) if p.notch else x
+        return kernels.fir(x, np.array(p.taps)) if p.taps else x
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                flt0, t1, score = False, None, None
-                if r.md is not None and r.th1 is not None and not np.isnan(r.th1):
-                    sim = np.asarray(r.sim, dtype=np.float64)
-                    if r.freq is not None:
-                        sim = kernels.calibrate(sim[None, :], np.asarray(r.freq), np.asarray(r.gain))[0]
-                    x = (np.asarray(r.md, dtype=np.float64) + sim)[None, :]
-                    x = kernels.notch(x) if p.notch else x
-                    x = kernels.fir(x, np.array(p.taps)) if p.taps else x
-                    found = kernels.flt0(x[0], kernels.Flt0(r.th1, r.th2, p.t_quiet, p.t_period, p.t_sepmax, p.nc_min, p.nc_max))
+            flt0, t1, score = np.zeros(len(b), bool), [None] * len(b), [None] * len(b)
+            live = np.flatnonzero(b["md"].notna() & b["th1"].notna())
+            size = np.array([len(b["sim"].iloc[k]) for k in live], dtype=int)
+            for n in np.unique(size):
+                at = live[size == n]
+                x = filtered(b, at)
+                whole = kernels.as_int16(x)
+                for k, trace, fitted in zip(at.tolist(), x, whole):
+                    found = kernels.flt0(trace, kernels.Flt0(b["th1"].iloc[k], b["th2"].iloc[k], p.t_quiet, p.t_period, p.t_sepmax, p.nc_min, p.nc_max))
                     if found:
-                        flt0, t1 = True, found[0][0]
-                        fit = kernels.template_fit(kernels.as_int16(x)[0], t1, templates[r.channel], p.peak, p.window, p.factor)
-                        score = kernels.flt1_score(fit[3]) if fit else None
-                out.append((r.event, r.du, r.t_ns, r.channel, flt0, t1, score))
-            frame = pd.DataFrame(out, columns=[f.split()[0] for f in CHANNEL.split(", ")])
-            yield frame.astype({"t1": "Int32", "score": "Int32"})
+                        flt0[k], t1[k] = True, found[0][0]
+                        fit = kernels.template_fit(fitted, t1[k], templates[b["channel"].iloc[k]], p.peak, p.window, p.factor)
+                        score[k] = kernels.flt1_score(fit[3]) if fit else None
+            out = b[["event", "du", "t_ns", "channel"]].assign(flt0=flt0, t1=pd.array(t1, "Int32"), score=pd.array(score, "Int32"))
+            yield out
 
     return rows.mapInPandas(run, CHANNEL)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hitstream.operators.filters import FilterConfig, TriggerFilter
+from hitstream.operators.filters import BYPASS_DUS, SCORE_SCALE, FilterConfig, TriggerFilter
 
 
 def with_bucket(hits: DataFrame, cut: int, t: str = "t") -> DataFrame:
@@ -97,7 +97,7 @@ def coincidences(hits: DataFrame, window: int, nhit: int, first_only: bool = Fal
     return hits.select("tm_id", "t", "du").groupBy("tm_id").applyInPandas(run, WINDOWS)
 
 
-RESULTS = WINDOWS + ", triggered boolean, reject_reason string, selected_du_ids array<long>, selected_t array<long>"
+RESULTS = WINDOWS + ", triggered boolean, reject_reason string, selected_du_ids array<long>, selected_t array<long>, kept_count long, mean_score double"
 
 
 def trigger(hits: DataFrame, distances: dict[tuple[int, int], float] | None, config: FilterConfig, array: str | None = None) -> DataFrame:
@@ -118,10 +118,29 @@ def trigger(hits: DataFrame, distances: dict[tuple[int, int], float] | None, con
                 if not reason and len(chosen) < config.nhit:
                     reason = "nhit_below_threshold"
                 ids = np.unique(du[i:j])
-                out.append((int(tm_id), int(t[i]), int(t[j - 1]), j - i, len(ids), ids.tolist(), not reason, reason or None, [] if reason else chosen.tolist(), [] if reason else t[i:j][kept].tolist()))
+                out.append((int(tm_id), int(t[i]), int(t[j - 1]), j - i, len(ids), ids.tolist(), not reason, reason or None, [] if reason else chosen.tolist(), [] if reason else t[i:j][kept].tolist(), len(kept), float(np.mean(score[i:j][kept])) / SCORE_SCALE if len(kept) else None))
                 if config.first_only:
                     break
         return pd.DataFrame(out, columns=[f.split()[0] for f in RESULTS.split(", ")])
 
     columns = list(dict.fromkeys([*keys, "tm_id", "t", "du", "score"]))
     return hits.select(*columns).groupBy(*keys).applyInPandas(run, RESULTS)
+
+
+def statistics(results: DataFrame, config: FilterConfig) -> DataFrame:
+    """One row of counts, sums and maxima over the results of ``trigger``: windows, causal evaluations and bypasses, template means, rejections by reason."""
+    causal = F.lit(config.causal) & (F.col("du_count") < BYPASS_DUS)
+    bypass = F.lit(config.causal) & (F.col("du_count") >= BYPASS_DUS)
+    matched = F.lit(config.template) & ~F.coalesce(F.col("reject_reason") == "causal_subset_too_small", F.lit(False))
+    total = lambda on, c: F.coalesce(F.sum(F.when(on, F.col(c))), F.lit(0))
+    most = lambda on, c: F.coalesce(F.max(F.when(on, F.col(c))), F.lit(0))
+    rejected = lambda why: F.count_if(F.coalesce(F.col("reject_reason") == why, F.lit(False)))
+    return results.agg(
+        F.count("*").alias("windows"), F.count_if("triggered").alias("triggered"),
+        F.count_if(causal).alias("causal_evaluated"), total(causal, "hit_count").alias("causal_input_sum"), most(causal, "hit_count").alias("causal_input_max"),
+        total(causal, "kept_count").alias("causal_kept_sum"), most(causal, "kept_count").alias("causal_kept_max"), rejected("causal_subset_too_small").alias("causal_rejected"),
+        F.count_if(bypass).alias("bypassed"), total(bypass, "hit_count").alias("bypass_input_sum"), most(bypass, "hit_count").alias("bypass_input_max"),
+        total(bypass, "du_count").alias("bypass_du_sum"), most(bypass, "du_count").alias("bypass_du_max"),
+        F.count_if(matched).alias("template_evaluated"), rejected("template_below_threshold").alias("template_rejected"), total(matched, "mean_score").alias("template_mean_sum"), most(matched, "mean_score").alias("template_mean_max"),
+        rejected("duplicate").alias("duplicate_rejected"), rejected("nhit_below_threshold").alias("nhit_rejected"),
+    )

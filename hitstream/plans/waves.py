@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitstream.functions import kernels
-from hitstream.operators import electronics
+from hitstream.operators import electronics, pipeline
+from hitstream.operators.filters import FilterConfig
 from hitstream.plans.registry import query
-from hitstream.tables import read
+from hitstream.tables import SECOND, read
 
 #: Sine templates of 16 samples.
 TEMPLATES = [np.sin(2 * np.pi * np.arange(16) * (k + 1) / 16) for k in range(4)]
@@ -73,3 +74,22 @@ def trace_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.when(peak > 0.25, F.floor(peak * 65_535))
     outcome = electronics.outcome(peak > 0.2, score, 0.3)
     return rows.select("vec_id", pattern.alias("pattern"), F.round(F.sqrt(power / F.size("e")), 6).alias("rms"), F.round(peak, 6).alias("peak"), outcome.alias("outcome"))
+
+
+CASCADE = pipeline.Cascade(16, 60, 40, 1, 12, 0.3, 2, FilterConfig(window=SECOND, nhit=2), notch=False, taps=(0.25, 0.5, 0.25), peak=4, window=8)
+
+
+@query()
+def offline_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cascade: ten antennas an event, traces of four stretches of an embedding, over the backgrounds of the same front ends."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * 1000).cast("int")).alias("e"))
+    event, du = F.expr("vec_id div 10"), F.col("vec_id") % 10
+    trace = F.concat("e", F.reverse("e"), "e", F.reverse("e"))
+    sim = rows.select(event.alias("event"), du.alias("du"), (event * 1_000_000_000 + du * 100).alias("t_ns"), (event * 1_000_000_000).alias("scan_ns"), trace.alias("x"), F.reverse(trace).alias("y"), trace.alias("z"))
+    weaker = lambda k: F.transform(trace, lambda x: F.floor(x / k).cast("int"))
+    md = rows.select((du + 100).cast("int").alias("feb_id"), (F.col("vec_id") * 100_000_000).alias("t_ns"), F.col("vec_id").alias("entry"), *[weaker(k).alias(c) for c, k in zip("xyz", (8, 9, 10))])
+    front_ends = spark.range(9).select(F.col("id").alias("du"), (F.col("id") + 100).cast("int").alias("feb_id"))  # the tenth antenna has none
+    levels = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(a).alias("th1"), F.lit(b).alias("th2")) for c, a, b in (("x", 180.0, 60.0), ("y", 200.0, 80.0))]))
+    thresholds = front_ends.select("feb_id", levels.alias("l")).select("feb_id", "l.*")
+    out = pipeline.process(sim, front_ends, md, thresholds, {"x": TEMPLATES, "y": TEMPLATES}, CASCADE)
+    return out.withColumn("selected_du_ids", F.array_join(F.transform("selected_du_ids", lambda x: x.cast("string")), ","))

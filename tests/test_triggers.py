@@ -124,3 +124,14 @@ def test_fragment_validity(spark):
     assert got == {0: "ok", 1: "duplicate", 2: "not_expected", 3: "no_pending", 4: "invalid", 5: "invalid"}
     done = spark.createDataFrame([(1, [2]), (2, [2, 3]), (3, [])], "tag int, missing array<int>")
     assert sorted(map(tuple, fragments.missing_per_du(done).collect())) == [(2, 2), (3, 1)]
+
+
+def test_statistics_of_the_chain(spark):
+    hits = spark.createDataFrame([(0, 10 * i + d, d, 30_000 if i else 10) for i in range(3) for d in range(4)], "tm_id long, t long, du long, score long")
+    config = FilterConfig(window=5, nhit=3, causal=True, template=True, coefficient=0.1, duplicate=True, time_diff=1, min_pairs=2)
+    far = {(a, b): 10.0 for a in range(4) for b in range(4)}
+    out = windows.trigger(hits, far, config)
+    rows, s = out.collect(), windows.statistics(out, config).first()
+    assert [r.reject_reason for r in sorted(rows)] == ["template_below_threshold", None, "duplicate"]
+    assert (s.windows, s.triggered, s.causal_evaluated, s.causal_input_sum, s.causal_kept_max, s.causal_rejected, s.bypassed) == (3, 1, 3, 12, 4, 0, 0)
+    assert (s.template_evaluated, s.template_rejected, s.duplicate_rejected, s.nhit_rejected) == (3, 1, 1, 0) and abs(s.template_mean_max - 30_000 / 65_536) < 1e-12
