@@ -55,7 +55,14 @@ def pair_differences(du, t, canonical_sign: bool = False) -> Pairs:
     The sign follows list order (earlier minus later); ``canonical_sign`` makes it smaller id minus larger.
     """
     du, t = np.asarray(du, dtype=np.int64), np.asarray(t, dtype=np.int64)
-    i, j = np.triu_indices(len(du), 1)  # in list order, so that the last of a repeated pair stays in the dictionary
+    back = np.arange(len(du))[::-1]
+    ids, at = np.unique(du[back], return_index=True)
+    last = back[at]  # of two DUs the last pair in list order joins the last hits of both, however many there are
+    i, j = np.triu_indices(len(ids), 1)
+    i, j = np.minimum(last[i], last[j]), np.maximum(last[i], last[j])
+    again = np.delete(back, at)  # and of one DU its last two hits
+    twice, at = np.unique(du[again], return_index=True)
+    i, j = np.r_[i, again[at]], np.r_[j, last[np.searchsorted(ids, twice)]]
     diff = t[i] - t[j]
     if canonical_sign:
         diff = np.where(du[i] > du[j], -diff, diff)

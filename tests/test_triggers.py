@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -99,6 +100,23 @@ def test_pair_sign():
     assert filters.pair_differences([5, 2], [0, 4], canonical_sign=True) == {(2, 5): 4}
 
 
+def test_pairs_of_a_window_with_many_hits_of_few_dus():
+    rng = random.Random(3)
+    for n in range(0, 40):
+        du, t = [rng.randrange(5) for _ in range(n)], sorted(rng.randrange(90) for _ in range(n))
+        for sign in (False, True):
+            want = {}
+            for i in range(n):
+                for j in range(i + 1, n):
+                    want[min(du[i], du[j]), max(du[i], du[j])] = (t[j] - t[i] if sign and du[i] > du[j] else t[i] - t[j])
+            assert filters.pair_differences(du, t, sign) == want
+    tracemalloc.start()
+    assert len(filters.pair_differences(np.arange(4000) % 50, np.arange(4000))) == 50 * 51 // 2
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10e6  # all 8 million pairs took hundreds of MB
+
+
 def test_high_multiplicity_passes_unsearched():
     f = TriggerFilter(config(causal=True), {(1, 2): 1.0})
     assert f.decide(np.arange(20), np.arange(20) * 1000, np.zeros(20))[0] == list(range(20))
