@@ -6,10 +6,13 @@ buckets are the unit of distribution and must be short (a second in production).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from itertools import chain as chain_of
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,15 +55,16 @@ def candidate_flags(hits: DataFrame, window: int, nhit: int) -> DataFrame:
     return out.select(*[F.col("p.hit").getField(c).alias(c) for c in names], "n_du", (F.col("n_du") >= nhit).alias("candidate"))
 
 
-def greedy(t: np.ndarray, du: np.ndarray, window: int, nhit: int) -> Iterator[tuple[int, int]]:
-    """(first, end) of the greedy windows over hits in order of (t, du).
+def greedy(t: np.ndarray, du: np.ndarray, window: int, nhit: int, settled: int | None = None) -> Generator[tuple[int, int], None, int]:
+    """(first, end) of the greedy windows over hits in order of (t, du); returns the first hit not tried as an opening one.
 
-    The earliest hit whose window holds ``nhit`` distinct DUs opens a window; the whole window is consumed.
+    The earliest hit whose window holds ``nhit`` distinct DUs opens a window; the whole window is consumed. Where hits behind those given may follow,
+    only the first ``settled`` ones are tried, those whose windows are here whole.
     """
     end = np.searchsorted(t, t + window, "right")
     counts: dict[int, int] = {}
     i = j = 0
-    while i < len(t):
+    while i < (len(t) if settled is None else settled):
         while j < end[i]:
             counts[du[j]] = counts.get(du[j], 0) + 1
             j += 1
@@ -75,6 +79,7 @@ def greedy(t: np.ndarray, du: np.ndarray, window: int, nhit: int) -> Iterator[tu
         else:
             del counts[du[i]]
         i += 1
+    return i
 
 
 WINDOWS = "tm_id long, window_start long, window_end long, hit_count long, du_count long, du_ids array<long>"
@@ -97,6 +102,8 @@ def coincidences(hits: DataFrame, window: int, nhit: int, first_only: bool = Fal
     return hits.select("tm_id", "t", "du").groupBy("tm_id").applyInPandas(run, WINDOWS)
 
 
+#: Numbers that a batch of results holds before it goes out.
+OUT_NUMBERS = 200_000
 RESULTS = WINDOWS + ", triggered boolean, reject_reason string, selected_du_ids array<long>, selected_t array<long>, kept_count long, mean_score double"
 
 
@@ -105,26 +112,69 @@ def trigger(hits: DataFrame, distances: dict[tuple[int, int], float] | None, con
 
     Hits carry ``score`` besides du and t. The duplicate history depends on order, so it lives within a bucket
     (each starts from ``config.seed``); with ``array`` (a column naming an antenna array) it runs over that array's buckets in order.
+    Hits come sorted, and a task holds those that a window may still take, never a bucket. Hits without time, bucket or DU belong to no window.
     """
-    keys = [array] if array else ["tm_id"]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        chain, out = TriggerFilter(config, distances), []
-        for tm_id, bucket in rows.sort_values(["tm_id", "t", "du"], kind="stable").groupby("tm_id", sort=True):
-            t, du, score = (bucket[c].to_numpy() for c in ("t", "du", "score"))
-            for i, j in greedy(t, du, config.window, config.nhit):
-                kept, reason = chain.decide(du[i:j], t[i:j], score[i:j])
-                chosen = np.unique(du[i:j][kept])
-                if not reason and len(chosen) < config.nhit:
-                    reason = "nhit_below_threshold"
-                ids = np.unique(du[i:j])
-                out.append((int(tm_id), int(t[i]), int(t[j - 1]), j - i, len(ids), ids.tolist(), not reason, reason or None, [] if reason else chosen.tolist(), [] if reason else t[i:j][kept].tolist(), len(kept), float(np.mean(score[i:j][kept])) / SCORE_SCALE if len(kept) else None))
-                if config.first_only:
-                    break
-        return pd.DataFrame(out, columns=[f.split()[0] for f in RESULTS.split(", ")])
 
-    columns = list(dict.fromkeys([*keys, "tm_id", "t", "du", "score"]))
-    return hits.select(*columns).groupBy(*keys).applyInPandas(run, RESULTS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for _, parts in groupby(_pieces(batches), lambda p: p[0]):
+            chain = TriggerFilter(config, distances)
+            for tm_id, bucket in groupby(parts, lambda p: p[1]):
+                for t, du, score in _windows((p[2] for p in bucket), config):
+                    kept, reason = chain.decide(du, t, score)
+                    chosen = np.unique(du[kept])
+                    if not reason and len(chosen) < config.nhit:
+                        reason = "nhit_below_threshold"
+                    ids, mean = np.unique(du), float(np.mean(score[kept])) / SCORE_SCALE if len(kept) else None
+                    out.append((tm_id, int(t[0]), int(t[-1]), len(t), len(ids), ids, not reason, reason or None, chosen[:0] if reason else chosen, t[:0] if reason else t[kept], len(kept), None if mean is None or np.isnan(mean) else mean))
+                    size += 20 + sum(len(out[-1][c]) for c in (5, 8, 9))
+                    if size >= OUT_NUMBERS:
+                        yield _results(out)
+                        out, size = [], 0
+        if out:
+            yield _results(out)
+
+    of = lambda c, kind="long": F.col(c).cast(kind)
+    rows = hits.select(F.col(array or "tm_id").alias("key"), of("tm_id").alias("tm_id"), of("t").alias("t"), of("du").alias("du"), of("score", "double").alias("score")).where("tm_id is not null and t is not null and du is not null")
+    return rows.repartition("key").sortWithinPartitions("key", "tm_id", "t", "du", "score").mapInArrow(run, RESULTS)
+
+
+def _results(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
+    names, types = zip(*(f.split() for f in RESULTS.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(zip(*rows), types)], list(names))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, list[np.ndarray]]]:
+    """(key, bucket, its hits' t, du and score) of sorted batches; a bucket that several batches hold comes in as many pieces."""
+    for batch in batches:
+        keys, (tm_id, *cols) = batch.column(0).to_pylist(), (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
+        at = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1] or tm_id[i] != tm_id[i - 1]]
+        for start, end in zip(at, [*at[1:], len(keys)]):
+            yield keys[start], int(tm_id[start]), [c[start:end] for c in cols]
+
+
+def _windows(pieces: Iterator[list[np.ndarray]], config: FilterConfig) -> Iterator[list[np.ndarray]]:
+    """The hits of a bucket's greedy windows. What waits is looked at again when it has doubled, so that the work stays linear."""
+    held: list[list[np.ndarray]] = []
+    waiting = fresh = 0
+    for piece in chain_of(pieces, [None]):
+        if piece is not None:
+            held.append(piece)
+            fresh += len(piece[0])
+            if fresh <= waiting:
+                continue
+        t, du, score = (np.concatenate(c) for c in zip(*held))
+        found = greedy(t, du, config.window, config.nhit, None if piece is None else int(np.searchsorted(t, t[-1] - config.window)))
+        try:
+            while True:
+                i, j = next(found)
+                yield [t[i:j], du[i:j], score[i:j]]
+                if config.first_only:
+                    return
+        except StopIteration as end:
+            i = end.value
+        held, waiting, fresh = [[t[i:], du[i:], score[i:]]], len(t) - i, 0
 
 
 def statistics(results: DataFrame, config: FilterConfig) -> DataFrame:

@@ -153,3 +153,42 @@ def test_statistics_of_the_chain(spark):
     assert [r.reject_reason for r in sorted(rows)] == ["template_below_threshold", None, "duplicate"]
     assert (s.windows, s.triggered, s.causal_evaluated, s.causal_input_sum, s.causal_kept_max, s.causal_rejected, s.bypassed) == (3, 1, 3, 12, 4, 0, 0)
     assert (s.template_evaluated, s.template_rejected, s.duplicate_rejected, s.nhit_rejected) == (3, 1, 1, 0) and abs(s.template_mean_max - 30_000 / 65_536) < 1e-12
+
+
+@pytest.mark.parametrize("rows", [1, 7, 64])
+def test_windows_from_pieces(rows):
+    rng = random.Random(rows)
+    for _ in range(20):
+        hits = sorted((rng.randrange(300), rng.randrange(8)) for _ in range(rng.randrange(1, 150)))
+        t, du = (np.array([h[i] for h in hits], dtype=np.int64) for i in (0, 1))
+        c = config(window=rng.randrange(1, 25), nhit=rng.randrange(1, 6))
+        pieces = [[x[k : k + rows] for x in (t, du, du * 1.0)] for k in range(0, len(t), rows)]
+        got = list(windows._windows(iter(pieces), c))
+        assert [list(zip(w[0].tolist(), w[1].tolist())) for w in got] == slow_windows(hits, c.window, c.nhit)
+
+
+def test_a_bucket_is_never_held_whole():
+    n, c = 200_000, config(window=100, nhit=3)
+    t, most = np.arange(n, dtype=np.int64), 0
+    for _ in windows._windows(([t[k : k + 1000], t[k : k + 1000] % 50, t[k : k + 1000] * 1.0] for k in range(0, n, 1000)), c):
+        if not tracemalloc.is_tracing():
+            tracemalloc.start()
+        most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1e6  # the bucket has 4.8 MB
+
+
+def test_history_of_an_array_runs_over_batches_and_buckets(spark):
+    """Arrays of which one is unnamed; the history of each goes on in its next bucket and starts anew in another array."""
+    rows = [(a, b, d, 1000 * b + 3 * d, 60_000) for a in ("x", None) for b in range(40) for d in range(5)]
+    df = spark.createDataFrame(rows, "array string, tm_id long, du long, t long, score long")
+    c = config(window=100, nhit=5, duplicate=True, time_diff=2, min_pairs=2)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = windows.trigger(df, None, c, "array").collect()
+        alone = windows.trigger(df.where("array = 'x'"), None, c).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(out) == 80 and sorted(r.tm_id for r in out if r.triggered) == [0, 0]
+    assert len(alone) == 40 and all(r.triggered for r in alone)
