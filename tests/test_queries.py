@@ -2,6 +2,7 @@
 
 import glob
 import math
+from datetime import datetime
 from pathlib import Path
 
 import duckdb
@@ -43,3 +44,20 @@ def test_against_duckdb(spark, db, small, name):
 def test_without_oracle(spark, small, name):
     df = QUERIES[name](spark, small)
     assert df.count() > 0 and df.schema == QUERIES[name](spark, small).schema
+
+
+def against_own(spark, path, name, table, rows):
+    """The query over a table of its own against its SQL."""
+    con = duckdb.connect()
+    con.execute(f"create table {table} as select * from read_parquet('/root/testdata/sf0.001/{table}.parquet') limit 0")
+    con.executemany(f"insert into {table} values ({', '.join('?' * len(rows[0]))})", rows)
+    con.execute(f"copy {table} to '{path}/{table}.parquet'")
+    df = QUERIES[name](spark, str(path))
+    cursor = con.execute(ORACLES[name])
+    names = [d[0] for d in cursor.description]
+    assert plain(df.collect(), df.columns) == plain(cursor.fetchall(), names)
+
+
+def test_saturating_sums_of_summands_beyond_a_long(spark, tmp_path):
+    keys = [(1, 2305), (2, 2306), (3, 14_999), (8_999, 900_000), (5, 0), (9_000, 7), (6, 2**62), (7, None)]
+    against_own(spark, tmp_path, "saturating_sums", "orders", [(k, c, "O", 1.0, datetime(1998, 2, 6), "x") for k, c in keys])
