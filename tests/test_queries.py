@@ -61,3 +61,13 @@ def against_own(spark, path, name, table, rows):
 def test_saturating_sums_of_summands_beyond_a_long(spark, tmp_path):
     keys = [(1, 2305), (2, 2306), (3, 14_999), (8_999, 900_000), (5, 0), (9_000, 7), (6, 2**62), (7, None)]
     against_own(spark, tmp_path, "saturating_sums", "orders", [(k, c, "O", 1.0, datetime(1998, 2, 6), "x") for k, c in keys])
+
+
+def test_health_lines_of_any_time_of_day(spark, tmp_path):
+    keys = [(2, 59_999), (3, 60_000), (4, 900_000), (12, 3_600_000), (13, 86_400_000), (14, 7), (11, 60_001), (15, None)]
+    late = datetime(1998, 2, 6, 23, 59, 59, 999_000)
+    against_own(spark, tmp_path, "health_lines", "orders", [(k, c, "O", 1.0, late if k == 14 else None if k == 3 else datetime(1998, 2, k), "x") for k, c in keys])
+
+
+def test_health_lines_beyond_a_minute(spark, tmp_path):
+    against_own(spark, tmp_path, "health_lines", "orders", [(k, 60_000 * k, "O", 1.0, datetime(1998, 2, 6), "x") for k in range(2, 30)])
