@@ -63,6 +63,12 @@ def test_saturating_sums_of_summands_beyond_a_long(spark, tmp_path):
     against_own(spark, tmp_path, "saturating_sums", "orders", [(k, c, "O", 1.0, datetime(1998, 2, 6), "x") for k, c in keys])
 
 
+def test_saturating_sums_has_every_order(spark, tmp_path):
+    keys = [(1, 2), (8_999, 0), (9_000, 0), (9_223, 93), (9_224, 0), (150_000, 14_999), (2**63 - 1, 2**63 - 1), (-5, 3), (None, 4), (None, None)]
+    against_own(spark, tmp_path, "saturating_sums", "orders", [(k, c, "O", 1.0, datetime(1998, 2, 6), "x") for k, c in keys])
+    assert QUERIES["saturating_sums"](spark, str(tmp_path)).count() == len(keys)
+
+
 def test_health_lines_of_any_time_of_day(spark, tmp_path):
     keys = [(2, 59_999), (3, 60_000), (4, 900_000), (12, 3_600_000), (13, 86_400_000), (14, 7), (11, 60_001), (15, None)]
     late = datetime(1998, 2, 6, 23, 59, 59, 999_000)
