@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hitstream.operators.filters import BYPASS_DUS, SCORE_SCALE, FilterConfig, TriggerFilter
+from hitstream.operators.filters import SCORE_SCALE, FilterConfig, TriggerFilter
 
 
 def with_bucket(hits: DataFrame, cut: int, t: str = "t") -> DataFrame:
@@ -179,8 +179,8 @@ def _windows(pieces: Iterator[list[np.ndarray]], config: FilterConfig) -> Iterat
 
 def statistics(results: DataFrame, config: FilterConfig) -> DataFrame:
     """One row of counts, sums and maxima over the results of ``trigger``: windows, causal evaluations and bypasses, template means, rejections by reason."""
-    causal = F.lit(config.causal) & (F.col("du_count") < BYPASS_DUS)
-    bypass = F.lit(config.causal) & (F.col("du_count") >= BYPASS_DUS)
+    passed = F.lit(False) if config.bypass is None else F.col("du_count") >= config.bypass
+    causal, bypass = F.lit(config.causal) & ~passed, F.lit(config.causal) & passed
     matched = F.lit(config.template) & ~F.coalesce(F.col("reject_reason") == "causal_subset_too_small", F.lit(False))
     total = lambda on, c: F.coalesce(F.sum(F.when(on, F.col(c))), F.lit(0))
     most = lambda on, c: F.coalesce(F.max(F.when(on, F.col(c))), F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,19 +151,21 @@ def ring_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHAIN = FilterConfig(window=WINDOW, nhit=5, causal=True, tolerance=60.0 * SECOND, template=True, coefficient=0.02, duplicate=True, history=10, time_diff=20 * SECOND, min_pairs=3)
 
 
-def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chained(spark: SparkSession, sf_dir: str, config: FilterConfig = CHAIN) -> DataFrame:
     """The full chain: greedy windows, largest causal subset, template score, and duplicates of earlier buckets of the same run of 24."""
     h = bucketed(spark, sf_dir).withColumn("run", F.expr("tm_id div 24")).withColumn("du", F.col("du") % 50).withColumn("score", F.least(F.lit(65_535), F.col("cents")).cast("long"))
     table = {(a, b): ((b - a) * 30.0 + 100.0) * SECOND / 10 for a in range(50) for b in range(a, 50) if (a + b) % 7}
-    return windows.trigger(h, table, CHAIN, "run")
+    return windows.trigger(h, table, config, "run")
 
 
 @query()
 def max_clique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chained(spark, sf_dir)
+    """The chain with the largest causal subset of every window, however many DUs it has."""
+    out = chained(spark, sf_dir, replace(CHAIN, bypass=None))
     return out.withColumns({c: joined(c) for c in ("du_ids", "selected_du_ids", "selected_t")})
 
 
 @query()
 def filter_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the chain as it runs in production, where windows of many DUs pass unsearched and are counted apart."""
     return windows.statistics(chained(spark, sf_dir), CHAIN)

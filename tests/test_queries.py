@@ -69,6 +69,19 @@ def test_saturating_sums_has_every_order(spark, tmp_path):
     assert QUERIES["saturating_sums"](spark, str(tmp_path)).count() == len(keys)
 
 
+@pytest.mark.parametrize("dus", [12, 19, 20, 45])
+def test_max_clique_searches_windows_of_many_dus(spark, tmp_path, dus):
+    """A DU every two minutes: light explains few of the differences, however many DUs there are."""
+    con = duckdb.connect()
+    con.execute("create table events as select * from read_parquet('/root/testdata/sf0.001/events.parquet') limit 0")
+    con.execute(f"insert into events select i, timestamp '2024-01-05 00:00:00' + i * interval 2 minute, i, 'view', 90.0, '' from range({dus}) r(i)")
+    con.execute(f"copy events to '{tmp_path}/events.parquet'")
+    (row,) = QUERIES["max_clique"](spark, str(tmp_path)).collect()
+    near = lambda a, b: (a + b) % 7 and (b - a) * 120 <= (b - a) * 3 + 10 + 60
+    assert not any(near(a, b) for a in range(dus) for b in range(a + 1, dus))
+    assert (row.hit_count, row.kept_count, row.reject_reason) == (dus, 1, "causal_subset_too_small")
+
+
 def test_health_lines_of_any_time_of_day(spark, tmp_path):
     keys = [(2, 59_999), (3, 60_000), (4, 900_000), (12, 3_600_000), (13, 86_400_000), (14, 7), (11, 60_001), (15, None)]
     late = datetime(1998, 2, 6, 23, 59, 59, 999_000)

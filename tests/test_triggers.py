@@ -79,6 +79,52 @@ def test_same_du_is_not_compatible_with_itself():
     assert filters.maximum_causal_subset([1, 1, 2], [0, 1, 2], {(1, 1): 99.0, (1, 2): 99.0}) == [0, 2]
 
 
+def first_in_order(du, t, far, tolerance):
+    """The search by its definition: every subproblem of the pivot rule in turn, a clique counts if it is larger than the best so far."""
+    near = filters.adjacency(du, t, far, tolerance)
+    rank = sorted(range(len(du)), key=lambda i: (-near[i].bit_count(), t[i], du[i], i))
+    near = [{j for j in rank if near[i] >> j & 1} for i in range(len(du))]
+    best = []
+
+    def search(clique, open_, tried):
+        nonlocal best
+        if not open_ and not tried and len(clique) > len(best):
+            best = clique
+        if not open_ or len(clique) + len(open_) <= len(best):
+            return
+        pivot = max((*open_, *tried), key=lambda v: len(near[v] & set(open_)))
+        for v in [v for v in open_ if v not in near[pivot]]:
+            search([*clique, v], [x for x in open_ if x in near[v]], [x for x in tried if x in near[v]])
+            open_, tried = [x for x in open_ if x != v], [*tried, v]
+
+    search([], rank, [])
+    return sorted(best)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_causal_subset_is_the_first_in_order(seed):
+    rng = random.Random(seed)
+    n, k, span = rng.randrange(45), rng.randrange(1, 30), rng.choice([5, 40, 300, 3000])
+    hits = sorted((rng.randrange(span), rng.randrange(k)) for _ in range(n))
+    hits = [h for h in hits for _ in range(rng.choice([1, 1, 1, 4]))]  # hits of a DU at one time
+    t, du = [h[0] for h in hits], [h[1] for h in hits]
+    if seed % 3 == 0:
+        rng.shuffle(t)
+    far = {(a, b): rng.choice([rng.randrange(200), 20.5, -3.0]) for a in range(k) for b in range(a if seed % 2 else 0, k) if rng.random() < 0.8}
+    assert filters.maximum_causal_subset(du, t, far, 2.5) == first_in_order(du, t, far, 2.5)
+
+
+def test_causal_subset_of_many_hits():
+    """Each hit sixty times, and a window in which all fits: the same clique as once, without a subproblem for each hit."""
+    rng = np.random.default_rng(1)
+    t, du = np.sort(rng.integers(0, 7200, 278)), rng.integers(0, 50, 278)
+    far = {(a, b): 3.0 * (b - a) + 10 for a in range(50) for b in range(a, 50) if (a + b) % 7}
+    got = filters.maximum_causal_subset(np.repeat(du, 60), np.repeat(t, 60), far, 60)
+    assert got == [60 * i for i in filters.maximum_causal_subset(du, t, far, 60)] and len(got) > 4
+    everywhere = {(a, b): 50.0 for a in range(150) for b in range(a, 150)}
+    assert filters.maximum_causal_subset(np.arange(150), np.arange(150) // 10, everywhere) == list(range(150))
+
+
 def config(**k):
     return FilterConfig(**({"window": 100, "nhit": 2} | k))
 
@@ -123,6 +169,12 @@ def test_high_multiplicity_passes_unsearched():
     assert f.decide(np.arange(19), np.arange(19) * 1000, np.zeros(19)) == ([0], "causal_subset_too_small")
 
 
+@pytest.mark.parametrize("n", [4, 19, 20, 60])
+def test_a_window_of_any_size_is_searched(n):
+    f = TriggerFilter(config(causal=True, bypass=None), {(0, 1): 10.0, (0, 2): 10.0, (1, 2): 10.0})
+    assert f.decide(np.arange(n), np.arange(n) * 2, np.zeros(n)) == ([0, 1, 2], "")
+
+
 def test_trigger_end_to_end(spark):
     """Five hits 3 us apart trigger; the same event again is a duplicate."""
     hits = [(0, d, 1_000_000 + 3000 * d, 60_000) for d in range(5)] + [(0, d, 2_000_000 + 3000 * d, 60_000) for d in range(5)]
