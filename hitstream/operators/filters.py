@@ -20,7 +20,7 @@ SCORE_SCALE = 65_536.0
 BYPASS_DUS = 20
 #: The longest time difference, and the cells of a block of compatibilities.
 _LONGEST = (1 << 63) - 1
-_CELLS = 1 << 22
+_CELLS = 1 << 20
 
 Pairs = dict[tuple[int, int], int]
 
